@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, oracles, sharding, urls
+from heddle.llm import chat, oracles, packing, sharding, tokenfile, urls
 from heddle.llm.common import read
 
 
@@ -14,6 +14,21 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read(spark, sf_dir, "documents"))
 
@@ -26,7 +41,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op8_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_url_filters, op4_token_output, op6_packing, op8_sharding, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
