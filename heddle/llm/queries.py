@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, oracles, packing, sharding, tokenfile, urls
+from heddle.llm import chat, gif, oracles, packing, sharding, simhash, tokenfile, urls
 from heddle.llm.common import read
 
 
@@ -25,10 +25,18 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.document_media(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_token_output, op6_packing, op8_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_url_filters, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
