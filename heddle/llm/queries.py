@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, gif, oracles, packing, sharding, simhash, tokenfile, urls
+from heddle.llm import chat, gif, oracles, packing, sharding, simhash, tokenfile, toxicity, urls
 from heddle.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -49,7 +54,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
