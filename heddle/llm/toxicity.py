@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Features are the words of a text and the beginnings of its words, present or not. Those whose counts differ most
-between labels are kept. A logistic regression is fitted on them with one more penalty: each labelled text that names
+Features are the words of a text and the beginnings of its words: that one is present, and that it makes up at least
+a given share of the words. Those whose counts differ most between labels are kept. A logistic regression is fitted on them with one more penalty: each labelled text that names
 a group of people is paired with copies that name another group of the same kind instead, and the squared change of
 the score's logit between the two is added to the loss. So the score of a neutral mention can't hang on the group.
 """
@@ -12,7 +12,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ MAX_FIT_ROWS, MAX_FEATURES = 8000, 1024
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6, 7)
+#: A feature with `@k` holds where its word or beginning is at least a 2^-k share of the text's words.
+SHARES = (8, 7, 6, 5)
 #: Terms of one kind that may stand for each other; a parameter of `fit`.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -40,49 +41,70 @@ IDENTITY = (
     ("old", "young", "elderly"),
     ("femmes", "hommes", "mujeres", "hombres", "frauen", "männer"),
 )
-COUNTERFACTUAL, RIDGE, MIN_ROWS, MIN_Z = 1.0, 0.002, 3, 3.0
+COUNTERFACTUAL, RIDGE, MIN_ROWS, MIN_Z = 1.0, 0.0002, 3, 3.0
 THRESHOLD = 0.7
 
 
-def features(word: str) -> list[str]:
+def stems(word: str) -> list[str]:
     """A lower-cased word and its beginnings, marked as such."""
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-@dataclass(frozen=True)
-class Model:
-    """index: feature -> column; weights one longer, the last for the intercept."""
+def words_of(text: str | None) -> Counter[str]:
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def features(words: Counter[str]) -> set[str]:
+    """All features of a text."""
+    counts: Counter[str] = Counter()
+    for w, c in words.items():
+        for s in stems(w):
+            counts[s] += c
+    total = words.total()
+    return {f for s, c in counts.items() for f in (s, *(f"{s}@{k}" for k in SHARES if c << k >= total))}
 
-    index: dict[str, int]
-    weights: np.ndarray
 
-    def columns(self, words: set[str], seen: dict[str, tuple[int, ...]]) -> set[int]:
-        out: set[int] = set()
-        for w in words:
+class Model:
+    """names: the kept features, by column; weights are one longer, the last being the intercept."""
+
+    def __init__(self, names: list[str], weights: np.ndarray):
+        self.names, self.weights = names, weights
+        self.stems: dict[str, list[tuple[int, int]]] = {}  # stem -> (column, k); k is -1 where presence is meant
+        for i, name in enumerate(names):
+            stem, _, k = name.partition("@")
+            self.stems.setdefault(stem, []).append((i, int(k) if k else -1))
+
+    def columns(self, words: Counter[str], seen: dict[str, tuple[str, ...]]) -> list[int]:
+        """The text's columns in ascending order. seen: a worker's memory of the stems that count in a word."""
+        counts: dict[str, int] = {}
+        for w, c in words.items():
             hit = seen.get(w)
             if hit is None:
-                hit = tuple(self.index[f] for f in features(w) if f in self.index)
+                hit = tuple(s for s in stems(w) if s in self.stems)
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen[w] = hit
-            out.update(hit)
-        return out
+            for s in hit:
+                counts[s] = counts.get(s, 0) + c
+        total = words.total()
+        return sorted(i for s, c in counts.items() for i, k in self.stems[s] if k < 0 or c << k >= total)
 
-    def score(self, words: set[str], seen: dict[str, tuple[int, ...]]) -> float:
-        z = float(self.weights[-1] + sum(self.weights[i] for i in sorted(self.columns(words, seen))))
+    def score(self, words: Counter[str], seen: dict[str, tuple[str, ...]]) -> float:
+        z = float(self.weights[-1]) + math.fsum(self.weights[i] for i in self.columns(words, seen))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
-
-
-def counterfactuals(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[set[str]]:
+def counterfactuals(words: Counter[str], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[Counter[str]]:
     """The words of the text with each group's terms swapped for each other term of the same kind."""
     out = []
     for group in groups:
-        for term in words.intersection(group):
-            out += [words - {term} | {other} for other in group if other != term]
+        for term in group:
+            if term in words:
+                for other in group:
+                    if other != term:
+                        swapped = words.copy()
+                        swapped[other] += swapped.pop(term)
+                        out.append(swapped)
     return out
 
 
@@ -98,7 +120,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     good, bad = Counter(), Counter()
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            (bad if y else good).update({f for w in words_of(text) for f in features(w)})
+            (bad if y else good).update(features(words_of(text)))
     names = list(good.keys() | bad.keys())
     for i in range(0, len(names), 20_000):
         part = names[i : i + 20_000]
@@ -111,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups: tuple[tuple[str, ...], ...]
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)).alias("bad")).head()
     n, bad = total["n"], total["bad"]
     rate = (bad + 0.5) / (n + 1)
-    flat = Model({}, np.array([math.log(rate / (1 - rate))]))
+    flat = Model([], np.array([math.log(rate / (1 - rate))]))
     if not 0 < bad < n:
         return flat
     counts = rows.mapInArrow(_counts, "feature string, bad bigint, good bigint").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad + good >= {MIN_ROWS}")
@@ -119,20 +141,20 @@ def fit(docs: DataFrame, labels: DataFrame, groups: tuple[tuple[str, ...], ...]
     both = (F.col("bad") + F.col("good") + 1) / (n + 2)
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / bad + 1 / (n - bad)))
     best = counts.withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(max_features).collect()
-    index = {r["feature"]: i for i, r in enumerate(best)}
-    model = Model(index, np.zeros(len(index) + 1))
+    names = [r["feature"] for r in best]
+    model = Model(names, np.zeros(len(names) + 1))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, ...]] = {}
+        seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             words = [words_of(t) for t in batch.column("text").to_pylist()]
-            own = [sorted(model.columns(w, seen)) for w in words]
-            swapped = [[sorted(model.columns(c, seen)) for c in counterfactuals(w, groups)] for w in words]
+            own = [model.columns(w, seen) for w in words]
+            swapped = [[model.columns(c, seen) for c in counterfactuals(w, groups)] for w in words]
             kind = pa.list_(pa.int32())
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(own, kind), pa.array(swapped, pa.list_(kind))], ["doc_id", "toxic", "own", "swapped"])
 
     known = rows.mapInArrow(describe, "doc_id bigint, toxic int, own array<int>, swapped array<array<int>>").orderBy("doc_id").collect()  # max_rows rows of max_features columns at most
-    return Model(index, _solve([(r["own"], r["swapped"], int(r["toxic"] > 0)) for r in known], len(index)))
+    return Model(names, _solve([(r["own"], r["swapped"], int(r["toxic"] > 0)) for r in known], len(names)))
 
 
 def _solve(rows: list[tuple[list[int], list[list[int]], int]], k: int, steps: int = 40) -> np.ndarray:
@@ -181,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, ...]] = {}
+        seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 p = [model.score(words_of(t), seen) for t in part.column("text").to_pylist()]
@@ -196,7 +218,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score below THRESHOLD; all columns stay, under their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, ...]] = {}
+        seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 keep = [model.score(words_of(t), seen) < THRESHOLD for t in part.column("text").to_pylist()]
