@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, gif, oracles, packing, sharding, simhash, tokenfile, toxicity, urls
+from heddle.llm import chat, decontaminate, gif, oracles, packing, sharding, simhash, tokenfile, toxicity, urls
 from heddle.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file; the operators take any path."""
     import public_tokenizers
@@ -54,7 +58,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_decontamination, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
