@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, decontaminate, gif, oracles, packing, sharding, simhash, tokenfile, toxicity, urls
+from heddle.llm import chat, decontaminate, gif, oracles, packing, sharding, simhash, suffixes, tokenfile, toxicity, urls
 from heddle.llm.common import read
 
 
@@ -57,8 +57,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(turns.unionByName(extra))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_decontamination, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_decontamination, op4_token_output, op5_media_columns, op6_packing, op7_simhash, op8_sharding, op9_chat_formatting, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
