@@ -171,7 +171,8 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; all columns stay. Rows without doc_id stay too.
 
-    Of rows that share a doc_id but belong to different components, those stay that head a component.
+    Where rows share a doc_id, they stay if one of them heads its component.
     """
-    heads = near_duplicates(docs, words, distance).where("doc_id = component_id").select(F.col("doc_id").alias("__hd_head")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(heads, docs["doc_id"] == F.col("__hd_head"), "left_semi"))
+    seen = near_duplicates(docs, words, distance).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
+    gone = materialise(seen.where("doc_id is not null and not head").select(F.col("doc_id").alias("__hd_gone")), "simhash-gone")
+    return docs.join(gone, docs["doc_id"] == F.col("__hd_gone"), "left_anti")

@@ -135,18 +135,28 @@ class Spec:
         return key >> np.uint64(64 - self.bits)
 
 
-def make_blobs(docs: DataFrame) -> DataFrame:
-    """blob, ids array, sizes array, data (compressed bytes): documents in bounded groups; null texts are empty."""
+def make_blobs(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """blob, ids array, sizes array, data (compressed bytes), rest: documents in bounded groups; null texts are empty.
+
+    rest holds all columns of the documents as an Arrow stream if carry is set, and is null otherwise.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         small = zstandard.ZstdCompressor(level=3)
-        ids, texts, used = [], [], 0
+        ids, texts, rest, used = [], [], [], 0
 
         def blob() -> pa.RecordBatch:
-            cols = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([small.compress(b"".join(texts))], pa.binary())]
-            return pa.record_batch(cols, ["ids", "sizes", "data"])
+            body = None
+            if carry:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest[0].schema) as stream:
+                    for x in rest:
+                        stream.write_batch(x)
+                body = small.compress(sink.getvalue().to_pybytes())
+            cols = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([small.compress(b"".join(texts))], pa.binary()), pa.array([body], pa.binary())]
+            return pa.record_batch(cols, ["ids", "sizes", "data", "rest"])
 
         for batch in batches:
             for part in slices(batch, "text", BLOB_BYTES // 4):
@@ -154,15 +164,23 @@ def make_blobs(docs: DataFrame) -> DataFrame:
                 more = sum(map(len, new))
                 if ids and (used + more > BLOB_BYTES or len(ids) + len(new) > 1 << 16):
                     yield blob()
-                    ids, texts, used = [], [], 0
-                ids += part.column("doc_id").to_pylist()
+                    ids, texts, rest, used = [], [], [], 0
+                ids += part.column("doc_id").cast(pa.int64()).to_pylist()
                 texts += new
+                rest += [part.drop_columns(["text"])] if carry else []
                 used += more
         if ids:
             yield blob()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(rows.mapInArrow(run, "ids array<bigint>, sizes array<bigint>, data binary").withColumn("blob", F.monotonically_increasing_id()), "blobs")
+    rows = docs if carry else docs.select("doc_id", "text")
+    return materialise(rows.mapInArrow(run, "ids array<bigint>, sizes array<bigint>, data binary, rest binary").withColumn("blob", F.monotonically_increasing_id()), "blobs")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, since a blob's row is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 class Blob:
@@ -243,34 +261,32 @@ def _same_rows(rows: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _by_bucket(batches: Iterator[pa.RecordBatch], work: Callable[[int, list[dict]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
     """Calls work for each run of rows with one bucket; batches are sorted by it."""
     held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                if (out := work(held[0]["bucket"], held)) is not None:
-                    yield out
-                held = []
-            held.append(row)
+    for row in _each(batches):
+        if held and held[0]["bucket"] != row["bucket"]:
+            if (out := work(held[0]["bucket"], held)) is not None:
+                yield out
+            held = []
+        held.append(row)
     if held and (out := work(held[0]["bucket"], held)) is not None:
         yield out
 
 
 def _send_keys(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                d, bucket, several, _ = Blob(r["ids"], r["sizes"], r["data"], spec).keys()
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else np.zeros(0, np.int64)
-                ends = np.concatenate([cut[1:], [len(d)]])
-                out = []
-                for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-                    steps = np.diff(d[a:b], prepend=d[a : a + 1])
-                    wide = int(steps.max()) >= 1 << 32
-                    body = _squeeze(d[a : a + 1], steps.astype("<u8" if wide else "<u4"), np.packbits(several[a:b]))
-                    out.append((int(bucket[a]), r["blob"], b - a, wide, body))
-                if out:
-                    cols = zip(*out, strict=True)
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "blob", "n", "wide", "body"])
+        for r in _each(batches):
+            d, bucket, several, _ = Blob(r["ids"], r["sizes"], r["data"], spec).keys()
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else np.zeros(0, np.int64)
+            ends = np.concatenate([cut[1:], [len(d)]])
+            out = []
+            for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
+                steps = np.diff(d[a:b], prepend=d[a : a + 1])
+                wide = int(steps.max()) >= 1 << 32
+                body = _squeeze(d[a : a + 1], steps.astype("<u8" if wide else "<u4"), np.packbits(several[a:b]))
+                out.append((int(bucket[a]), r["blob"], b - a, wide, body))
+            if out:
+                cols = zip(*out, strict=True)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "blob", "n", "wide", "body"])
 
     return run
 
@@ -306,26 +322,25 @@ def _answers(row: dict) -> list[tuple[int, bytes]]:
 
 def _send_items(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                blob = Blob(r["ids"], r["sizes"], r["data"], spec)
-                rows, left, count, least, at, item = blob.items(blob.shared(_answers(r)))
-                if not len(rows):
-                    continue
-                key = np.empty(len(rows), dtype=np.uint64)
-                key[item] = blob.seg.key[at]
-                bucket = spec.bucket(key)
-                order = np.argsort(bucket, kind="stable")
-                where = np.arange(rows.shape[1])
-                lo = spec.length - ANCHOR - left
-                inside = (where >= lo[:, None]) & (where < (lo + count + spec.length - 1)[:, None])
-                cut = np.flatnonzero(np.diff(bucket[order])) + 1
-                out = []
-                for i in np.split(order, cut):
-                    body = _squeeze(i.astype("<u4"), left[i].astype("<u2"), count[i].astype("<u2"), least[i].astype("<i8"), rows[i][inside[i]])
-                    out.append((int(bucket[i[0]]), r["blob"], len(i), body))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "blob", "n", "body"])
+        for r in _each(batches):
+            blob = Blob(r["ids"], r["sizes"], r["data"], spec)
+            rows, left, count, least, at, item = blob.items(blob.shared(_answers(r)))
+            if not len(rows):
+                continue
+            key = np.empty(len(rows), dtype=np.uint64)
+            key[item] = blob.seg.key[at]
+            bucket = spec.bucket(key)
+            order = np.argsort(bucket, kind="stable")
+            where = np.arange(rows.shape[1])
+            lo = spec.length - ANCHOR - left
+            inside = (where >= lo[:, None]) & (where < (lo + count + spec.length - 1)[:, None])
+            cut = np.flatnonzero(np.diff(bucket[order])) + 1
+            out = []
+            for i in np.split(order, cut):
+                body = _squeeze(i.astype("<u4"), left[i].astype("<u2"), count[i].astype("<u2"), least[i].astype("<i8"), rows[i][inside[i]])
+                out.append((int(bucket[i[0]]), r["blob"], len(i), body))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "blob", "n", "body"])
 
     return run
 
@@ -435,11 +450,11 @@ def covered(blob: Blob, shared: np.ndarray, runs: list[dict]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated_bytes(docs: DataFrame, finish: Callable[[Blob, np.ndarray], pa.RecordBatch], schema: str, length: int = LENGTH) -> DataFrame:
-    """Applies finish to each blob and its covered bytes. docs: doc_id, text."""
+def repeated_bytes(docs: DataFrame, finish: Callable[[Blob, np.ndarray, bytes | None], pa.RecordBatch], schema, length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """Applies finish to each blob, its covered bytes and what it carries. docs: doc_id, text; all columns are carried if carry is set."""
     if length < ANCHOR + 1 or length > 1 << 15:
         raise ValueError(f"length {length} is not within {ANCHOR + 1} and {1 << 15}")
-    blobs = make_blobs(docs)
+    blobs = make_blobs(docs, carry)
     total = blobs.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).head()[0]
     expected = 2.2 * total / (length - ANCHOR + 2)
     spec = Spec(length, max(16, math.ceil(expected / SEGMENTS_A_BUCKET)), min(64, max(40, math.ceil(math.log2(expected + 2)) + 14)))
@@ -447,23 +462,23 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Blob, np.ndarray], pa.Reco
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(spec.buckets, "bucket").sortWithinPartitions("bucket", "blob")
 
-    keys = dealt(blobs.mapInArrow(_send_keys(spec), "bucket bigint, blob bigint, n bigint, wide boolean, body binary"))
+    texts = blobs.drop("rest")
+    keys = dealt(texts.mapInArrow(_send_keys(spec), "bucket bigint, blob bigint, n bigint, wide boolean, body binary"))
     masks = keys.mapInArrow(_answer_keys, "bucket bigint, blob bigint, mask binary").groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("masks"))
     masks = materialise(masks, "masks")
-    items = dealt(blobs.join(masks, "blob").mapInArrow(_send_items(spec), "bucket bigint, blob bigint, n bigint, body binary"))
+    items = dealt(texts.join(masks, "blob").mapInArrow(_send_items(spec), "bucket bigint, blob bigint, n bigint, body binary"))
     runs = items.mapInArrow(_answer_items(spec), "blob bigint, n bigint, body binary").groupBy("blob").agg(F.collect_list(F.struct("n", "body")).alias("runs"))
     runs = materialise(runs, "runs")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                blob = Blob(r["ids"], r["sizes"], r["data"], spec)
-                yield finish(blob, covered(blob, blob.shared(_answers(r)), r["runs"] or []))
+        for r in _each(batches):
+            blob = Blob(r["ids"], r["sizes"], r["data"], spec)
+            yield finish(blob, covered(blob, blob.shared(_answers(r)), r["runs"] or []), r["rest"])
 
     return blobs.join(masks.join(runs, "blob", "left"), "blob", "left").mapInArrow(last, schema)
 
 
-def _digest(blob: Blob, gone: np.ndarray) -> pa.RecordBatch:
+def _digest(blob: Blob, gone: np.ndarray, _: bytes | None) -> pa.RecordBatch:
     ends = np.cumsum(blob.sizes).tolist()
     out = []
     data = np.frombuffer(blob.data, np.uint8)
@@ -483,3 +498,35 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text is empty; texts shorter than `length` keep all. Other columns are not read. An empty table gives no rows.
     """
     return repeated_bytes(docs, _digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", length)
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated bytes taken out of `text`; all rows and columns stay, and `n_chars`, if there, counts anew.
+
+    A character goes if all its bytes do. A text that loses all is empty; a null text becomes empty. Otherwise as
+    `removal_digests`.
+    """
+    schema = docs.schema
+    names = schema.fieldNames()
+
+    def finish(blob: Blob, gone: np.ndarray, rest: bytes | None) -> pa.RecordBatch:
+        table = pa.ipc.open_stream(_expand(rest)).read_all().combine_chunks()
+        data = np.frombuffer(blob.data, np.uint8)
+        head = (data & 0xC0) != 0x80  # first bytes of characters
+        if len(data):
+            first = np.flatnonzero(head)
+            whole = np.logical_and.reduceat(gone, first)
+            gone = np.repeat(whole, np.diff(np.concatenate([first, [len(data)]])))
+        ends = np.cumsum(blob.sizes).tolist()
+        texts = [data[e - n : e][~gone[e - n : e]].tobytes().decode("utf-8", "replace") for e, n in zip(ends, blob.sizes.tolist(), strict=True)]
+        cols = []
+        for c in names:
+            if c == "text":
+                cols.append(pa.array(texts, pa.string()))
+            elif c == "n_chars":
+                cols.append(pa.array([len(t) for t in texts], pa.int64()).cast(table.schema.field(c).type))
+            else:
+                cols.append(table.column(c).chunk(0) if table.column(c).num_chunks else pa.array([], table.schema.field(c).type))
+        return pa.record_batch(cols, names)
+
+    return repeated_bytes(docs, finish, schema, length, carry=True)
