@@ -71,8 +71,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in slices(batch, "text"):
-                raw = [ids.ids(t or "") + end for t in part.column("text").to_pylist()]
+            for part in slices(batch, "text", 1 << 20):
+                raw = [x + end for x in ids.ids([t or "" for t in part.column("text").to_pylist()])]
                 crcs = [[zlib.crc32(memoryview(r)[i : i + step]) for i in range(0, len(r), step)] for r in raw]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
 

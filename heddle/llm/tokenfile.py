@@ -43,10 +43,10 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, do
 
         ids, small, end = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 doc = part.column("doc_id")
                 where = np.searchsorted(cuts, np.asarray(doc.fill_null(-(2**63))), "right").astype(np.int32)
-                raw = [ids.ids(t or "") + end for t in part.column("text").to_pylist()]
+                raw = [x + end for x in ids.ids([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.record_batch(
                     [pa.array(where), doc, pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([small.compress(r) for r in raw], pa.binary())], ["file", "doc_id", "n_tokens", "packed"]
                 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,13 +14,23 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bounds a worker's cache of pieces; a full cache is emptied.
-MAX_PIECES, LONGEST_PIECE = 300_000, 64
+#: Bounds a worker's memory of pieces: two generations of so many; longer pieces are not remembered.
+MAX_PIECES, LONGEST_PIECE = 250_000, 64
 #: Separators of Python's white space that Unicode's white space does not have; texts with them go to the library whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Letters and then plain punctuation always lie in different pre-tokens.
-CORE_AND_TAIL = re.compile(r"( ?[^\W\d_]+)([.,;:!?%*&$#]+)")
+#: Letters that normalise to themselves but for case, and then plain punctuation: always two pre-tokens.
+CORE_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*&$#]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -34,10 +45,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 
 
 class Encoder:
-    """ids(text) gives the ids as little-endian unsigned 32-bit integers.
+    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers.
 
     Where the tokenizer's pre-tokenizer always cuts at white space, a text's ids are those of its pieces joined, so
-    pieces are looked up; otherwise, and for texts with odd separators, the whole text is encoded.
+    pieces are looked up; a new piece that is one word, or a word and punctuation, goes straight to the tokenizer's
+    model. Other tokenizers, and texts with odd separators, encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -45,46 +57,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-        self.split = self._splitter(json.load(open(path, encoding="utf-8")))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.split, self.lower = self._splitter(json.load(open(path, encoding="utf-8")))
 
     @staticmethod
-    def _splitter(spec: dict) -> Callable[[str], list[str]] | None:
+    def _splitter(spec: dict) -> tuple[Callable[[str], list[str]] | None, bool]:
         pre, norm = spec.get("pre_tokenizer") or {}, json.dumps(spec.get("normalizer"))
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null":
-            return WITH_SPACE.findall
+            return WITH_SPACE.findall, False
         steps = pre.get("pretokenizers", [])
-        if steps and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "") and '"NFC"' in norm:
-            return str.split
-        return None
+        if len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "") and steps[1].get("type") == "ByteLevel" and '"NFC"' in norm and '"Lowercase"' in norm:
+            return str.split, True
+        return None, False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of all pieces; new ones are encoded together."""
-        known = self.pieces
-        new = [p for p in set(pieces) if p not in known]
-        cut = {p: m.groups() for p in new if (m := CORE_AND_TAIL.fullmatch(p))}
-        need = list({c for p in new for c in cut.get(p, (p,)) if c not in known})
-        got = dict(zip(need, self._encode(need), strict=True))
-        get = lambda c: got[c] if c in got else known[c]
-        got |= {p: get(a) + get(b) for p, (a, b) in cut.items()}
-        out = {p: known[p] if p in known else got[p] for p in set(pieces)}
-        if len(known) + len(got) > MAX_PIECES:
-            known.clear()
-        known.update((p, v) for p, v in got.items() if len(p) <= LONGEST_PIECE)
+    def _word(self, word: str) -> bytes:
+        """One pre-token of plain letters, by the model alone."""
+        w = (word.lower() if self.lower else word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.tokenizer.model.tokenize(w)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Remembers all pieces; returns those that are too long for that."""
+        young, old, odd = self.young, self.old, []
+        for p in pieces - young.keys():
+            if (v := old.get(p)) is None and (m := CORE_AND_TAIL.fullmatch(p)):
+                core, tail = m.groups()
+                if (v := young.get(core) or old.get(core)) is None:
+                    v = self._word(core)
+                if tail:
+                    young[core] = v
+                    if (t := young.get(tail)) is None:
+                        t = young[tail] = self._encode([tail])[0]
+                    v += t
+            if v is None:
+                odd.append(p)
+            else:
+                young[p] = v
+        got = dict(zip(odd, self._encode(odd), strict=True))
+        young.update((p, v) for p, v in got.items() if len(p) <= LONGEST_PIECE)
+        return {p: v for p, v in got.items() if len(p) > LONGEST_PIECE}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if self.split is None:
+            return self._encode(texts)
+        if len(self.young) > MAX_PIECES:
+            self.old, self.young = self.young, {}
+        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
+        pieces = [self.split(t) for t in texts]
+        for i in odd:
+            pieces[i] = []
+        long = self._learn(set().union(*pieces))
+        get = self.young.__getitem__ if not long else lambda p: long[p] if p in long else self.young[p]
+        out = [b"".join(map(get, x)) for x in pieces]
+        for i, v in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
+            out[i] = v
         return out
 
-    def ids(self, text: str) -> bytes:
-        if self.split is None or ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        pieces = self.split(text)
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:
-            return b"".join(map(self._learn(pieces).__getitem__, pieces))
-
 
 _encoders: dict[str, Encoder] = {}
 
