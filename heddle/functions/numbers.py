@@ -24,9 +24,14 @@ def ratio(part: Column, whole: Column, default: float | None = None) -> Column:
     return r if default is None else F.coalesce(r, F.lit(default))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp with or without time zone (then in the session's, which is UTC here)."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def age_days(as_of: str, at: Column) -> Column:
     """Fractional days between a timestamp column and as_of (UTC literal)."""
-    return (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(at)) / DAY
+    return (micros(F.lit(as_of)) - micros(at)) / DAY
 
 
 def half_life_weight(age: Column, half_life: float = 30.0) -> Column:
@@ -40,7 +45,7 @@ def linear_decay(days: Column, a_day: int = 5, most: int = 50) -> Column:
 def week_key(ts: Column) -> Column:
     """Year and week as `YYYY-Www`, the week being ceil((days since 1 January + weekday of 1 January + 1) / 7) with Sunday as 0."""
     start = F.trunc(ts, "year")
-    days = (F.unix_micros(ts) - F.unix_micros(start.cast("timestamp"))) / DAY
+    days = (micros(ts) - micros(start)) / DAY
     week = F.ceil((days + (F.dayofweek(start) - 1) + 1) / 7)
     return F.concat(F.year(ts), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"))
 

@@ -142,11 +142,19 @@ def likely_rename(a: Column, b: Column) -> Column:
     )
 
 
+def word_grams(words: Column, n: int) -> Column:
+    """All runs of n words, joined by spaces; the words' expression is evaluated once."""
+
+    def grams(w: Column) -> Column:
+        return F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)]))
+
+    return F.get(F.transform(F.array(words), grams), F.lit(0))
+
+
 def shingles(c: Column, n: int = 4) -> Column:
     """Distinct word n-grams after literals, numbers and one-letter names are made alike."""
     s = F.regexp_replace(F.regexp_replace(F.lower(c), r"\"[^\"]*\"|'[^']*'", "STR"), r"\b\d+(\.\d+)?\b", "NUM")
-    w = F.filter(F.split(F.regexp_replace(s, r"\b[a-z]\b", "V"), r"\s+"), lambda x: x != "")
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(word_grams(F.filter(F.split(F.regexp_replace(s, r"\b[a-z]\b", "V"), r"\s+"), lambda x: x != ""), n))
 
 
 def issue_references(c: Column) -> Column:

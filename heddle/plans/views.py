@@ -60,7 +60,7 @@ def spend(spark: SparkSession, d: str) -> DataFrame:
 
 SPEND = """sp AS (
   SELECT c_mktsegment AS provider, o_orderstatus AS model, CAST(floor(o_totalprice) AS BIGINT) AS tokens,
-    CAST(floor(o_totalprice * (o_custkey % 4) / 10) AS BIGINT) AS cached, CAST(substr(o_orderpriority, 1, 1) AS INT) AS risk, o_orderdate AS at
+    CAST(floor(o_totalprice * (o_custkey % 4) / 10) AS BIGINT) AS cached, CAST(substr(o_orderpriority, 1, 1) AS INT) AS risk, o_orderdate AS paid
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
@@ -97,7 +97,7 @@ FINDINGS = f"""fi AS (
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """file, area, pos (from 1), content: the documents' lines."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("area"), F.posexplode(F.split("text", "\n")).alias("at", "content")).select("file", "area", (F.col("at") + 1).alias("pos"), "content")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("area"), F.posexplode(F.split("text", "\n")).alias("at", "content")).select("file", "area", (F.col("at") + 1).cast("bigint").alias("pos"), "content")
 
 
 LINES = """ln AS (
