@@ -70,7 +70,7 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
     grouped = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
 
     def parts(t: Column) -> Column:
-        head = F.concat(F.lit(template.open), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+        head = F.concat(F.lit(template.open), F.replace(escape(t["role"]), F.lit("\n"), F.lit("<\\n>")), F.lit("\n"))
         seg = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
         return F.array(seg(head, F.lit(False)), seg(escape(t["text"]), t["role"].isin(*template.loss)), seg(F.lit(template.close), F.lit(False)))
 
@@ -87,7 +87,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
         body = F.substr(p, F.lit(len(template.open) + 1))
         cut = F.locate("\n", body)
         name = F.substr(body, F.lit(1), cut - 1)
-        return F.struct(unescape(F.replace(name, F.lit("\\n"), F.lit("\n"))).alias("role"), unescape(F.substr(body, cut + 1)).alias("text"))
+        return F.struct(unescape(F.replace(name, F.lit("<\\n>"), F.lit("\n"))).alias("role"), unescape(F.substr(body, cut + 1)).alias("text"))
 
     return formatted.withColumn("turns", F.transform(bodies, turn))
 

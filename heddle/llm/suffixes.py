@@ -101,7 +101,8 @@ def segments(data: bytes, sizes: np.ndarray, length: int) -> Segments:
         at = np.repeat([g[1] - lo for g in group], count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         a = least[at].astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (row[1:] != row[:-1])]))
-        parts.append((h[a[new]], row[new], at[new] + lo, a[new] + lo, np.diff(np.concatenate([new, [len(a)]]))))
+        # The least of many hashes is small; hashed again, keys spread evenly over buckets.
+        parts.append((_mix(h[a[new]] ^ C3), row[new], at[new] + lo, a[new] + lo, np.diff(np.concatenate([new, [len(a)]]))))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return Segments(none.astype(np.uint64), none, none, none, none)
@@ -275,7 +276,9 @@ def _send_keys(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
             d, bucket, several, _ = Blob(r["ids"], r["sizes"], r["data"], spec).keys()
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else np.zeros(0, np.int64)
+            if not len(d):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.concatenate([cut[1:], [len(d)]])
             out = []
             for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
@@ -283,10 +286,8 @@ def _send_keys(spec: Spec):
                 wide = int(steps.max()) >= 1 << 32
                 body = _squeeze(d[a : a + 1], steps.astype("<u8" if wide else "<u4"), np.packbits(several[a:b]))
                 out.append((int(bucket[a]), r["blob"], b - a, wide, body))
-            if out:
-                cols = zip(*out, strict=True)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "blob", "n", "wide", "body"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "blob", "n", "wide", "body"])
 
     return run
 
