@@ -33,4 +33,5 @@ def level(n: Column) -> Column:
 
 def shift(severity: Column, by: Column) -> Column:
     """Moves up or down the ladder within its ends; an unknown level stays."""
-    return F.coalesce(level(F.least(F.greatest(ordinal(severity) + by, F.lit(0)), F.lit(len(LEVELS) - 1))), severity)
+    at = ordinal(severity)
+    return F.when(at.isNull(), severity).otherwise(level(F.least(F.greatest(at + by, F.lit(0)), F.lit(len(LEVELS) - 1))))

@@ -101,7 +101,7 @@ def regex_rule_hits(lines: DataFrame, rules: list[dict]) -> DataFrame:
 
 def rule_table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """As `regex_rule_hits` for a rule relation of unknown size: name, pattern. Nested loop over rules, which Spark broadcasts if small."""
-    return lines.join(rules, F.col("content").rlike(F.concat(F.lit("(?i)"), F.col("pattern")))).select("file", "pos", F.col("name").alias("rule"))
+    return lines.join(rules, F.rlike(F.col("content"), F.concat(F.lit("(?i)"), F.col("pattern")))).select("file", "pos", F.col("name").alias("rule"))
 
 
 def nearest(points: DataFrame, valid: DataFrame, reach: int = 5) -> DataFrame:
@@ -245,7 +245,7 @@ def suppress(findings: DataFrame, memories: DataFrame) -> DataFrame:
     """
     glob = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("m.file_pattern", r"([.+^${}()|\[\]\\?])", r"\\$1"), r"\*", "[^/]*"), F.lit("$"))
     text = F.coalesce(F.col("m.message_pattern"), F.lit(""))
-    on = (F.col("f.repo") == F.col("m.repo")) & (F.col("f.category") == F.col("m.category")) & F.col("f.file").rlike(glob) & ((F.length(text) < 5) | F.col("f.message").contains(text))
+    on = (F.col("f.repo") == F.col("m.repo")) & (F.col("f.category") == F.col("m.category")) & F.rlike(F.col("f.file"), glob) & ((F.length(text) < 5) | F.col("f.message").contains(text))
     keyed = findings.withColumn("__hd_k", F.xxhash64(F.struct(*findings.columns)))
     hit = keyed.alias("f").join(memories.alias("m"), on).groupBy("f.__hd_k").agg(F.min("m.id").alias("suppressed_by"))
     return keyed.join(hit, "__hd_k", "left").drop("__hd_k")
