@@ -35,7 +35,8 @@ LENGTH = 50
 #: Bytes of the first digit.
 ANCHOR = 16
 BLOB_BYTES, CHUNK = 2 << 20, 1 << 18
-SEGMENTS_A_BUCKET = 400_000
+#: Windows of a bucket on average, if all repeat: bounds what a task holds at about a hundred bytes each.
+WINDOWS_A_BUCKET = 2_500_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -458,7 +459,7 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Blob, np.ndarray, bytes |
     blobs = make_blobs(docs, carry)
     total = blobs.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).head()[0]
     expected = 2.2 * total / (length - ANCHOR + 2)
-    spec = Spec(length, max(16, math.ceil(expected / SEGMENTS_A_BUCKET)), min(64, max(40, math.ceil(math.log2(expected + 2)) + 14)))
+    spec = Spec(length, max(16, math.ceil(total / WINDOWS_A_BUCKET)), min(64, max(40, math.ceil(math.log2(expected + 2)) + 14)))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(spec.buckets, "bucket").sortWithinPartitions("bucket", "blob")
