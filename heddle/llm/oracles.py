@@ -17,3 +17,40 @@ SELECT conv_id,
   regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user(,assistant,user)*(,assistant)?') AS valid
 FROM e GROUP BY conv_id
 """
+
+_LEVEL = """
+c{i} AS (SELECT host, done, forms[{i}] AS child, sum(n) AS n FROM t{p} WHERE forms[{i}] IS NOT NULL GROUP BY 1, 2, 3),
+w{i} AS (SELECT host, done FROM c{i} GROUP BY 1, 2 HAVING count(*) >= 20 AND sum(n) < 5 * count(*)),
+t{i} AS (SELECT t.host, t.forms, t.n, t.labelled, t.bad, CASE WHEN t.forms[{i}] IS NULL THEN t.done ELSE list_append(t.done, CASE WHEN w.host IS NOT NULL THEN '*' ELSE t.forms[{i}] END) END AS done
+  FROM t{p} t LEFT JOIN w{i} w ON t.host = w.host AND t.done = w.done),"""
+
+OP2 = (
+    r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+u AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+  list_transform(list_filter(string_split(path, '/'), lambda x: x != ''), lambda x: CASE WHEN regexp_full_match(lower(x), '[0-9a-f]{8,}') AND regexp_matches(x, '[0-9]') THEN '<hex>' ELSE regexp_replace(lower(x), '[0-9]+', '#', 'g') END) AS every FROM b),
+v AS (SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' ELSE 'block' END AS verdict,
+  CASE WHEN len(every) > 3 THEN list_append(list_slice(every, 1, 3), '**') ELSE every END AS forms FROM u),
+t0 AS (SELECT host, forms, count(*) AS n, count(verdict) AS labelled, count(*) FILTER (verdict = 'block') AS bad, CAST([] AS VARCHAR[]) AS done FROM v GROUP BY 1, 2),"""
+    + "".join(_LEVEL.format(i=i, p=i - 1) for i in (1, 2, 3))
+    + r"""
+f AS (SELECT host, forms, n, labelled, bad, CASE WHEN forms[4] IS NULL THEN done ELSE list_append(done, forms[4]) END AS done FROM t3),
+template AS (SELECT host, done, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM f GROUP BY 1, 2),
+branch AS (SELECT host, done[1] AS branch, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM template GROUP BY 1, 2),
+below AS (SELECT host, done[1] AS branch, array_to_string(list_slice(done, 2, 5), '/') AS rest, sum(n) AS m FROM template GROUP BY 1, 2, 3),
+look AS (SELECT b.host, b.branch, list({'rest': rest, 'share': round(m / n * 4)} ORDER BY rest, round(m / n * 4)) AS look
+  FROM below b JOIN branch r ON b.host = r.host AND b.branch IS NOT DISTINCT FROM r.branch WHERE m * 8 >= n GROUP BY 1, 2),
+kind AS (SELECT r.host, r.branch, r.labelled, r.bad, look, CASE WHEN r.labelled = 0 THEN -1 ELSE round(r.bad / r.labelled * 4) END AS agree
+  FROM branch r LEFT JOIN look l ON l.host = r.host AND l.branch IS NOT DISTINCT FROM r.branch),
+pool AS (SELECT host, branch, (sum(bad) OVER w + 1) / (sum(labelled) OVER w + 2) AS prior FROM kind WINDOW w AS (PARTITION BY host, look, agree)),
+score AS (SELECT t.host, t.done, (t.bad + 2 * p.prior) / (t.labelled + 2) AS purity FROM template t JOIN pool p ON t.host = p.host AND t.done[1] IS NOT DISTINCT FROM p.branch)
+SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.verdict, CASE WHEN s.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(f.done, '/') AS template, round(s.purity, 6) AS purity
+FROM v JOIN f ON v.host = f.host AND v.forms = f.forms JOIN score s ON f.host = s.host AND f.done = s.done
+"""
+)

@@ -50,7 +50,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 def forms(path: Column, depth: int = DEPTH) -> Column:
     """Segments with variable parts generalised by form; what lies deeper than `depth` is one `**`."""
     s = F.filter(F.split(path, "/"), lambda x: x != "")
-    s = F.transform(s, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"(?=[a-f]*\d)[0-9a-f]{8,}", "<hex>"), r"\d+", "#"))
+    s = F.transform(F.transform(s, F.lower), lambda x: F.when(x.rlike(r"\A[0-9a-f]{8,}\z") & x.rlike("[0-9]"), "<hex>").otherwise(F.regexp_replace(x, "[0-9]+", "#")))
     return F.when(F.size(s) > depth, F.concat(F.slice(s, 1, depth), F.array(F.lit("**")))).otherwise(s)
 
 
