@@ -54,3 +54,18 @@ SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.verdict, CASE WHEN s.purity
 FROM v JOIN f ON v.host = f.host AND v.forms = f.forms JOIN score s ON f.host = s.host AND f.done = s.done
 """
 )
+
+OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 499) // 500)) AS c FROM d),
+p AS (SELECT doc_id, c, substr(h, 1000 * c + 1, 1098) AS s FROM c),
+b AS (SELECT doc_id, c, s, unnest(range(1, least(500, length(s) // 2) + 1)) AS i FROM p),
+w AS (SELECT doc_id, 500 * c + i AS i, substr(s, 2 * i - 1, 2) AS byte, CASE WHEN 2 * i + 98 <= length(s) THEN md5(substr(s, 2 * i - 1, 100)) END AS win FROM b),
+m AS (SELECT win, min(doc_id) AS least FROM w WHERE win IS NOT NULL GROUP BY 1),
+f AS (SELECT w.doc_id, i, byte, coalesce(m.least < w.doc_id, false) AS start FROM w LEFT JOIN m USING (win)),
+g AS (SELECT doc_id, i, byte, max(start::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g),
+k AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

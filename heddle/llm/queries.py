@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": oracles.OP2, "op9_chat_formatting": oracles.OP9}
+    return {"op2_url_filters": oracles.OP2, "op9_chat_formatting": oracles.OP9, "op10_suffix_dedup": oracles.OP10}
