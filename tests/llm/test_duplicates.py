@@ -89,6 +89,22 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
     assert simhash.keep_one(df.limit(0)).collect() == []
 
 
+def test_keep_one_finds_copies_with_a_few_changed_words(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopq") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    base = [[rng.choice(words) for _ in range(250)] for _ in range(30)]
+    copies = []
+    for b in base:
+        c = list(b)
+        for _ in range(3):
+            c[rng.randrange(250)] = rng.choice(words)
+        copies.append(c)
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(100 + i, " ".join(c)) for i, c in enumerate(copies)] + [(200, "a b"), (201, "b a"), (202, "A  b")]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept >= {*range(30), 200, 201} and 202 not in kept
+    assert len(kept & {100 + i for i in range(30)}) <= 3
+
+
 def plain_removal(rows, length):
     """doc_id -> for each row the covered bytes, by every window of the definition."""
     first = {}
