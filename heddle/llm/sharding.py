@@ -33,14 +33,14 @@ def communication_matrix(counts: np.ndarray, shards: int, seed: int) -> np.ndarr
         if left.sum() == n:
             matrix[p] = left
         else:
-            # NumPy bounds `marginals` by 10^9 items in all; beyond that the draw goes colour by colour with the same law.
+            # NumPy bounds `marginals` by 10^9 items in all.
             matrix[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else _draw(rng, left, int(n))
         left = left - matrix[p]
     return matrix
 
 
 def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """The same law by sequential binomial-like thinning where NumPy's exact sampler refuses its arguments."""
+    """Shard by shard, where NumPy's sampler refuses 10^9 items or more: exact draws once fewer are left, before that the law's normal limit, rounded. Margins are exact either way."""
     out, rest = np.zeros_like(left), int(left.sum())
     for i, have in enumerate(left):
         if n == 0:
