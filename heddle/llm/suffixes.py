@@ -36,7 +36,7 @@ LENGTH = 50
 ANCHOR = 16
 BLOB_BYTES, CHUNK = 2 << 20, 1 << 18
 #: Windows of a bucket on average, if all repeat: bounds what a task holds at about a hundred bytes each.
-WINDOWS_A_BUCKET = 2_500_000
+WINDOWS_A_BUCKET = 5_000_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -146,7 +146,7 @@ def make_blobs(docs: DataFrame, carry: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        small = zstandard.ZstdCompressor(level=3)
+        small = zstandard.ZstdCompressor(level=6)
         ids, texts, rest, used = [], [], [], 0
 
         def blob() -> pa.RecordBatch:
