@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     roots = connected_components(link_fingerprints(nodes.select("fp"), distance))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")  # so that both sides are plain scans and a large component is split
     named = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
