@@ -178,11 +178,12 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 0, distance: int = 6) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; all columns stay. Rows without doc_id stay too.
 
-    By default fingerprints are of vocabularies. Texts of which 0.8 or more of the five-word shingles agree differ in
-    about two words of a hundred, so their vocabularies' fingerprints differ in few bits (those of shingles in ten),
-    while within six bits some 95 % of all distinct words agree. Where rows share a doc_id, they stay if one of them
-    heads its component.
+    Two texts are linked if 0.8 or more of their five-word shingles agree; texts of fewer words are one shingle. All such
+    pairs count, and none is taken on a fingerprint's word: `words` and `distance` say which pairs are looked at first
+    (see `shingles`). Where rows share a doc_id, they stay if one of them heads its component.
     """
-    seen = near_duplicates(docs, words, distance).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
+    from heddle.llm.shingles import near_copies
+
+    seen = near_copies(docs, words, distance).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
     gone = materialise(seen.where("doc_id is not null and not head").select(F.col("doc_id").alias("__hd_gone")), "simhash-gone")
     return docs.join(gone, docs["doc_id"] == F.col("__hd_gone"), "left_anti")
