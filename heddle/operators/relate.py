@@ -197,10 +197,26 @@ def fuzzy_pairs(names: DataFrame, block: Column, at: float = 0.7) -> DataFrame:
     return a.join(c, (F.col("a.__hd_b") == F.col("c.__hd_b")) & (F.col("a.name") < F.col("c.name")) & (similarity(F.col("a.name"), F.col("c.name")) >= at)).select(F.col("a.name").alias("a"), F.col("c.name").alias("b"))
 
 
-def within_edits(left: DataFrame, right: DataFrame, block: Column, edits: int = 2) -> DataFrame:
-    """left, right: name. Different names within so many edits; `block` is an expression over name that equal pairs share."""
-    l, r = left.select(F.col("name").alias("a"), block.alias("k")).distinct(), right.select(F.col("name").alias("b"), block.alias("j")).distinct()
-    return l.join(r, (F.col("k") == F.col("j")) & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", edits) >= 0)).select("a", "b")
+def within_edits(left: DataFrame, right: DataFrame, edits: int = 2) -> DataFrame:
+    """left, right: name. Different names within so many edits; exact.
+
+    Of edits + 1 pieces of a name one stays whole, and in the other name it lies at most `edits` places off. Names meet
+    by (length of the left name, number of the piece, piece), then levenshtein decides.
+    """
+    k, n = edits, F.length("name")
+    names = lambda df, c: df.select("name").where("name is not null").distinct().select("name", c)
+    cut = lambda size, i: F.floor(size * i / (k + 1)).cast("int")
+
+    def key(size: Column, i: int, off: int) -> Column:
+        start, long = cut(size, i) + off, cut(size, i + 1) - cut(size, i)
+        inside = (size >= 0) & (start >= 0) & (start + long <= n)
+        return F.when(inside, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substr("name", start + 1, long).alias("piece")))
+
+    mine = F.array(*[key(n, i, 0) for i in range(k + 1)])
+    theirs = F.array_distinct(F.array_compact(F.array(*[key(n + d, i, off) for d in range(-k, k + 1) for i in range(k + 1) for off in range(-k, k + 1)])))
+    l = names(left, F.explode(mine).alias("k")).withColumnRenamed("name", "a")
+    r = names(right, F.explode(theirs).alias("k")).withColumnRenamed("name", "b")
+    return l.join(r, "k").where("a != b").select("a", "b").distinct().where(F.levenshtein("a", "b", edits) >= 0)
 
 
 def renames(removed: DataFrame, added: DataFrame) -> DataFrame:
