@@ -119,21 +119,19 @@ def nearest(points: DataFrame, valid: DataFrame, reach: int = 5) -> DataFrame:
 def similar_change_sets(history: DataFrame, current: DataFrame, least: float = 0.1, top: int = 5) -> DataFrame:
     """history, current: change_set, file (a path). For each current set the most similar others.
 
-    similarity = (shared files + 0.3 x other past files that share a directory) / files of both. Files and directories
-    are joined by equality, so no pair without anything in common is formed.
+    similarity = (shared files + 0.3 x other past files that share a directory) / files of both. Files are joined by
+    equality. A path shares a directory with a set exactly if it shares its topmost one, so past files are counted for
+    each set and topmost directory before they meet, and the shared ones among them taken off.
     """
     h, c = history.select("change_set", "file").distinct(), current.select("change_set", "file").distinct()
     hn, cn = h.groupBy("change_set").agg(F.count(F.lit(1)).alias("hn")), c.groupBy("change_set").agg(F.count(F.lit(1)).alias("cn"))
     cur = c.select(F.col("change_set").alias("current"), "file")
-    exact = h.join(cur, "file").where("change_set != current").select("current", "change_set", "file", F.lit(True).alias("exact"))
-    near = (
-        h.select("change_set", "file", F.explode(ancestors(F.col("file"))).alias("d"))
-        .join(cur.select("current", F.explode(ancestors(F.col("file"))).alias("d")).distinct(), "d")
-        .where("change_set != current")
-        .select("current", "change_set", "file", F.lit(False).alias("exact"))
-    )
-    per = exact.unionByName(near).groupBy("current", "change_set", "file").agg(F.bool_or("exact").alias("exact"))
-    n = per.groupBy("current", "change_set").agg(F.count_if("exact").alias("shared"), F.count_if(~F.col("exact")).alias("near"))
+    top_of, inside = F.split_part("file", F.lit("/"), F.lit(1)).alias("d"), F.col("file").contains("/")
+    exact = h.join(cur, "file").where("change_set != current").groupBy("current", "change_set").agg(F.count(F.lit(1)).alias("shared"), F.count_if(inside).alias("within"))
+    tops = h.where(inside).groupBy("change_set", top_of).agg(F.count(F.lit(1)).alias("files"))
+    close = tops.join(cur.where(inside).select("current", top_of).distinct(), "d").where("change_set != current").groupBy("current", "change_set").agg(F.sum("files").alias("close"))
+    z = lambda x: F.coalesce(x, F.lit(0))
+    n = close.join(exact, ["current", "change_set"], "full_outer").select("current", "change_set", z("shared").alias("shared"), (z("close") - z("within")).alias("near"))
     s = (F.col("shared") + 0.3 * F.col("near")) / (F.col("hn") + F.col("cn") - F.col("shared"))
     scored = n.join(hn, "change_set").join(cn.withColumnRenamed("change_set", "current"), "current").where(s >= least).select("current", "change_set", "shared", "near", round_half_up(s, 2).alias("similarity"))
     w = Window.partitionBy("current").orderBy(F.desc("similarity"), F.desc("shared"), "change_set")

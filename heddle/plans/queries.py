@@ -251,9 +251,9 @@ t AS (SELECT *, row_number() OVER (PARTITION BY current ORDER BY similarity DESC
 SELECT current, change_set, shared, near, similarity, rank FROM t WHERE rank <= 5""")
 def similar_change_sets(spark, d):
     p = v.table(spark, d, "part").select("p_partkey", "p_brand")
-    li = v.table(spark, d, "lineitem").where("l_linenumber <= 3")
+    li = v.table(spark, d, "lineitem")
     h = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("change_set"), F.concat_ws("/", "p_brand", "l_partkey").alias("file")).distinct()
-    return relate.similar_change_sets(h, h.where("change_set % 500 = 0")).withColumn("rank", F.col("rank").cast("bigint"))
+    return relate.similar_change_sets(h, h.where("change_set % 100 = 0")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # Snapshots and differences

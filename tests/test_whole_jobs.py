@@ -24,3 +24,32 @@ def test_names_within_edits_whatever_their_first_letter(spark, tmp_path):
     assert sorted(map(tuple, plans.QUERIES["typosquat_names"](spark, str(tmp_path)).collect())) == want[2]
     n = df.withColumnRenamed("p_name", "name")
     assert sorted(map(tuple, relate.within_edits(n, n, 1).collect())) == want[1]
+
+
+def test_similar_change_sets_over_all_lines(spark, tmp_path):
+    rng = random.Random(9)
+    brand = {p: f"Brand#{p % 5}" for p in range(40)}
+    lines = [(o, rng.randrange(40), n) for o in range(90, 320) for n in range(1, rng.randint(2, 8))]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(list(brand.items()), "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    sets = {}
+    for o, p, _ in lines:
+        sets.setdefault(o, set()).add(f"{brand[p]}/{p}")
+    want = []
+    for c in (x for x in sets if x % 100 == 0):
+        dirs, found = {f.split("/")[0] for f in sets[c]}, []
+        for o, files in sets.items():
+            shared = len(files & sets[c])
+            near = sum(f.split("/")[0] in dirs for f in files - sets[c])
+            x = (shared + 0.3 * near) / len(files | sets[c])
+            if o != c and x >= 0.1:
+                found.append((-int(x * 100 + 0.5) / 100, -shared, o, near))
+        want += [(c, o, -s, near, -x, i + 1) for i, (x, s, o, near) in enumerate(sorted(found)[:5])]
+    got = plans.QUERIES["similar_change_sets"](spark, str(tmp_path)).select("current", "change_set", "shared", "near", "similarity", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r["current"] for r in got}) == 3
+
+
+def test_similar_change_sets_with_nested_and_bare_paths(spark):
+    h = spark.createDataFrame([(1, "a/b/x"), (1, "y"), (1, "c/z"), (2, "a/q/w"), (2, "y"), (2, "a/b/x"), (3, "y"), (4, "c/k")], "change_set int, file string")
+    got = {r["change_set"]: (r["shared"], r["near"]) for r in relate.similar_change_sets(h, h.where("change_set = 1"), 0.0).collect()}
+    assert got == {2: (2, 1), 3: (1, 0), 4: (0, 1)}
