@@ -53,3 +53,38 @@ def test_similar_change_sets_with_nested_and_bare_paths(spark):
     h = spark.createDataFrame([(1, "a/b/x"), (1, "y"), (1, "c/z"), (2, "a/q/w"), (2, "y"), (2, "a/b/x"), (3, "y"), (4, "c/k")], "change_set int, file string")
     got = {r["change_set"]: (r["shared"], r["near"]) for r in relate.similar_change_sets(h, h.where("change_set = 1"), 0.0).collect()}
     assert got == {2: (2, 1), 3: (1, 0), 4: (0, 1)}
+
+
+def test_graph_queries_see_the_edges_of_every_line(spark, tmp_path):
+    rng = random.Random(10)
+    lines = [(rng.randrange(12), rng.randrange(60), rng.randint(1, 7), float(rng.randint(1, 50)), rng.choice("ANR")) for _ in range(40)]
+    spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(12)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    edges = {(s, p % 12) for s, p, *_ in lines if s != p % 12}
+    q = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+
+    def reach(seed):
+        at, seen, out = {seed}, {seed}, {}
+        for d in range(1, 6):
+            at = {s for s, t in edges if t in at and s > 2} - seen
+            seen |= at
+            out |= {(seed, n): d for n in at}
+        return out
+
+    assert {(r["seed"], r["node"]): r["depth"] for r in q("blast_radius")} == reach(0) | reach(1) | reach(2)
+    two = {(a, b) for a, b in edges if a < b and (b, a) in edges}
+    three = {tuple(sorted((a, b, c))) for a, b in edges for x, c in edges if x == b and c != a and (c, a) in edges}
+    assert sorted(r["nodes"] for r in q("cycles_len_2_3")) == sorted(",".join(map(str, n)) for n in two | three)
+    parent = {}
+    for s, t in edges:
+        parent[s] = min(t, parent.get(s, t))
+
+    def depth(n):
+        seen = [n]
+        while len(seen) <= 6 and parent.get(seen[-1], n) not in seen:
+            seen.append(parent[seen[-1]])
+        return len(seen) - 1
+
+    assert {r["node"]: r["depth"] for r in q("chain_depth")} == {n: depth(n) for n in parent}
+    level = lambda n: n % 3
+    assert {(r["source"], r["target"]) for r in q("layer_violations")} == {(s, t) for s, t in edges if level(s) != level(t) and (level(s), level(t)) not in ((0, 1), (1, 2))}
