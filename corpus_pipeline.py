@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.llm import decontaminate, packing, simhash, suffixes, toxicity
 from heddle.llm.common import new_path, read
 
-#: Passages of this many bytes that an earlier document holds are cut out: shorter than any passage of over 50 words.
-REPEATED_BYTES = 200
+#: Passages of this many bytes that an earlier document holds are cut out: 51 words of one letter with single separators
+#: take as many, so any passage of over 50 words is as long or longer.
+REPEATED_BYTES = 101
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
