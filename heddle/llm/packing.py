@@ -69,12 +69,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     """doc_id, n_tokens, crcs: CRC-32 of each piece of `capacity` ids and of the rest, for whole texts with end_id appended."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        library = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                raw = [x + end for x in ids.ids([t or "" for t in part.column("text").to_pylist()])]
-                crcs = [[zlib.crc32(memoryview(r)[i : i + step]) for i in range(0, len(r), step)] for r in raw]
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
+            for part in slices(batch, "text"):
+                ids, ends = library.encode(part.column("text"), end_id)
+                sizes = np.diff(ends)
+                pieces = -(-sizes // capacity)
+                last = np.cumsum(pieces)
+                nth = np.arange(last[-1]) - np.repeat(last - pieces, pieces)
+                start = np.repeat(ends[:-1], pieces) + nth * capacity
+                stop = np.minimum(start + capacity, np.repeat(ends[1:], pieces))
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]), pa.int32()), pa.array(crcs, pa.int64()))
+                yield pa.record_batch([part.column("doc_id"), pa.array(sizes), lists], ["doc_id", "n_tokens", "crcs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(digest, "doc_id bigint, n_tokens bigint, crcs array<bigint>")
 

@@ -16,13 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.common import new_path
-from heddle.llm.tokens import encoder, slices
+from heddle.llm.tokens import Encoder, encoder, slices
 
 #: At most so many files; their boundaries and totals are all that the driver sees.
 MAX_FILES = 65536
 DOCS_A_FILE = 8192
 
 
+def _width(library: Encoder, end_id: int) -> int:
+    """Bytes of an id on the way to its file."""
+    return 2 if max(end_id, library.largest) < 1 << 16 else 4
+
+
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_a_file: int = DOCS_A_FILE) -> None:
     """docs: doc_id long, text. Writes ORC rows (file int, doc_id, start long, n_tokens long, ids array<int>) under path.
 
@@ -39,26 +44,23 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, do
     files = len(cuts) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        ids, small, end = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes()
+        library = encoder(tokenizer)
+        width = f"<u{_width(library, end_id)}"
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 doc = part.column("doc_id")
                 where = np.searchsorted(cuts, np.asarray(doc.fill_null(-(2**63))), "right").astype(np.int32)
-                raw = [x + end for x in ids.ids([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.record_batch(
-                    [pa.array(where), doc, pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([small.compress(r) for r in raw], pa.binary())], ["file", "doc_id", "n_tokens", "packed"]
-                )
+                ids, ends = library.encode(part.column("text"), end_id)
+                ids = ids.astype(width)
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.record_batch([pa.array(where), doc, pa.array(np.diff(ends)), packed], ["file", "doc_id", "n_tokens", "packed"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        big, base = zstandard.ZstdDecompressor(), 0
+        width, base = f"<u{_width(encoder(tokenizer), end_id)}", 0
         for batch in batches:
             for part in slices(batch, "packed", 2 << 20):
                 n = np.asarray(part.column("n_tokens"))
-                ids = np.frombuffer(b"".join(big.decompress(x) for x in part.column("packed").to_pylist()), "<i4")
+                ids = np.frombuffer(b"".join(part.column("packed").to_pylist()), width).astype(np.int32)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.record_batch([part.column("file"), part.column("doc_id"), pa.array(base + ends - n), pa.array(n), lists], ["file", "doc_id", "start", "n_tokens", "ids"])

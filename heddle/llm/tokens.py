@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of pieces that tokenise independently."""
+"""Token ids of whole texts by the tokenizers library; the pieces between spaces are looked up in a bounded table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,16 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bounds a worker's memory of pieces: two generations of so many; longer pieces are not remembered.
-MAX_PIECES, LONGEST_PIECE = 250_000, 64
-#: Separators of Python's white space that Unicode's white space does not have; texts with them go to the library whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Letters that normalise to themselves but for case, and then plain punctuation: always two pre-tokens.
-CORE_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*&$#]*)")
+#: Bounds a worker's memory: the tables are emptied beyond so many pieces, ids of pieces, or words.
+MAX_PIECES, MAX_IDS, MAX_WORDS = 200_000, 4_000_000, 600_000
+#: Longer pieces are not remembered.
+LONGEST_PIECE = 64
+#: Every white space of Python, Unicode and regular expressions; a space beside another one may be part of a longer token.
+WHITE = "[\t-\r\x1c- \u0085  ᠎ -​    　﻿]"
+#: Letters that normalise to themselves but for case, plain punctuation and single line ends: pre-tokens of their own.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?%*&$#]+"
+PLAIN = re.compile(f" ?{LETTERS}(?:{MARKS})?(?:\n{LETTERS}(?:{MARKS})?)*")
+UNIT = re.compile(f" ?{LETTERS}|{MARKS}|\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -45,78 +48,139 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+    """encode(texts) gives the ids of the texts, as the library gives them for each whole text.
 
-    Where the tokenizer's pre-tokenizer always cuts at white space, a text's ids are those of its pieces joined, so
-    pieces are looked up; a new piece that is one word, or a word and punctuation, goes straight to the tokenizer's
-    model. Other tokenizers, and texts with odd separators, encode whole texts.
+    Where the tokenizer's pre-tokenizer always cuts before a lone space, a text's ids are those of its pieces joined, so
+    each distinct piece of a batch is looked up once. A new piece made of plain words and punctuation is put together
+    from the ids that the tokenizer's model gives its words; other pieces go to the library. Texts with runs of white
+    space that hold a space further in (byte-level vocabularies), or with the string of an added token, and all texts
+    of other tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.split, self.lower = self._splitter(json.load(open(path, encoding="utf-8")))
+        spec = json.load(open(path, encoding="utf-8"))
+        self.kind = self._kind(spec)
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.words: dict[str, bytes] = {}
+        self._forget()
 
     @staticmethod
-    def _splitter(spec: dict) -> tuple[Callable[[str], list[str]] | None, bool]:
+    def _kind(spec: dict) -> str:
+        """`space`: a word's token holds the space before it; `plain`: white space is dropped, letters lower-cased."""
         pre, norm = spec.get("pre_tokenizer") or {}, json.dumps(spec.get("normalizer"))
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null":
-            return WITH_SPACE.findall, False
+            return "space"
         steps = pre.get("pretokenizers", [])
         if len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "") and steps[1].get("type") == "ByteLevel" and '"NFC"' in norm and '"Lowercase"' in norm:
-            return str.split, True
-        return None, False
+            return "plain"
+        return ""
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        """One pre-token of plain letters, by the model alone."""
-        w = (word.lower() if self.lower else word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        """One pre-token of letters, with or without a space before, by the model alone."""
+        w = word.lower() if self.kind == "plain" else word
+        w = w.replace(" ", BYTE_LETTERS[32]) if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
         ids = [t.id for t in self.tokenizer.model.tokenize(w)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Remembers all pieces; returns those that are too long for that."""
-        young, old, odd = self.young, self.old, []
-        for p in pieces - young.keys():
-            if (v := old.get(p)) is None and (m := CORE_AND_TAIL.fullmatch(p)):
-                core, tail = m.groups()
-                if (v := young.get(core) or old.get(core)) is None:
-                    v = self._word(core)
-                if tail:
-                    young[core] = v
-                    if (t := young.get(tail)) is None:
-                        t = young[tail] = self._encode([tail])[0]
-                    v += t
-            if v is None:
-                odd.append(p)
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that the table does not hold."""
+        words, out, hard = self.words, [], []
+        plain, units, get = PLAIN.fullmatch, UNIT.findall, self.words.get
+        for p in pieces:
+            if (v := get(p)) is not None:
+                out.append(v)
+            elif plain(p):
+                v = b""
+                for u in units(p):
+                    if (w := get(u)) is None:
+                        w = words[u] = self._word(u) if u[-1].isalpha() else self._whole([u])[0]
+                    v += w
+                out.append(v)
             else:
-                young[p] = v
-        got = dict(zip(odd, self._encode(odd), strict=True))
-        young.update((p, v) for p, v in got.items() if len(p) <= LONGEST_PIECE)
-        return {p: v for p, v in got.items() if len(p) > LONGEST_PIECE}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if self.split is None:
-            return self._encode(texts)
-        if len(self.young) > MAX_PIECES:
-            self.old, self.young = self.young, {}
-        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
-        pieces = [self.split(t) for t in texts]
-        for i in odd:
-            pieces[i] = []
-        long = self._learn(set().union(*pieces))
-        get = self.young.__getitem__ if not long else lambda p: long[p] if p in long else self.young[p]
-        out = [b"".join(map(get, x)) for x in pieces]
-        for i, v in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
+                hard.append(len(out))
+                out.append(b"")
+        for i, v in zip(hard, self._whole([pieces[i] for i in hard]), strict=True):
             out[i] = v
         return out
 
+    def _add(self, ids: list[bytes]) -> int:
+        """Appends rows to the table of this batch; returns the first one's number."""
+        first = len(self.ends) - 1
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return first
+
+    def _find(self, pieces: list[str], uses: np.ndarray) -> np.ndarray:
+        """The rows of distinct pieces; those that the batch holds more than once are remembered."""
+        found = list(map(self.rows.get, pieces))
+        new = [i for i, r in enumerate(found) if r is None]
+        if new:
+            names = [pieces[i] for i in new]
+            row = self._add(self._new(names))
+            for i, p, many in zip(new, names, (uses[new] > 1).tolist(), strict=True):
+                found[i] = row
+                if many and len(p) <= LONGEST_PIECE:
+                    self.rows[p] = row
+                row += 1
+        return np.array(found, np.int64)
+
+    def _rows(self, words: pa.Array, before: str) -> np.ndarray:
+        """The row of each word with `before` put before it."""
+        coded = words.dictionary_encode()
+        at = np.asarray(coded.indices)
+        pieces = coded.dictionary.to_pylist()
+        return self._find([before + p for p in pieces] if before else pieces, np.bincount(at, minlength=len(pieces)))[at]
+
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts go to the library whole."""
+        odd = np.zeros(len(texts), bool)
+        if self.kind == "space":
+            odd |= np.asarray(pc.match_substring_regex(texts, f"{WHITE} (?:{WHITE}|$)"))
+        elif not self.kind:
+            odd[:] = True
+        for s in self.added:
+            odd |= np.asarray(pc.match_substring(texts, s, ignore_case=True))
+        return odd
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): text i, of which null is empty, has ids[ends[i]:ends[i + 1]], the last of which is `end`."""
+        if len(self.rows) > MAX_PIECES or len(self.flat) > MAX_IDS:
+            self._forget()
+        if len(self.words) > MAX_WORDS:
+            self.words = {}
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = self._odd(texts)
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
+        words, starts = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+        starts -= starts[0]
+        space = " " if self.kind == "space" else ""
+        rows = self._rows(words, space)
+        if space:
+            rows[starts[:-1]] = self._rows(words.take(pa.array(starts[:-1])), "")
+        kept = self.ends, self.flat
+        row = self._add([struct.pack("<I", end), *self._whole(texts.filter(pa.array(odd)).to_pylist())])
+        rows[starts[:-1][odd]] = row + 1 + np.arange(odd.sum())
+        rows = np.insert(rows, starts[1:], row)
+        starts += np.arange(len(starts))
+        sizes = np.diff(self.ends)[rows]
+        table = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.flat))
+        ids = np.asarray(table.take(pa.array(rows)).flatten())
+        ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
+        self.ends, self.flat = kept
+        return ids, ends
+
 
 _encoders: dict[str, Encoder] = {}
 

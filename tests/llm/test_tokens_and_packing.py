@@ -1,8 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from heddle.llm import packing, tokenfile
@@ -15,14 +18,27 @@ ODD = [
 DOCS = [(3, "one two three", 1), (1, None, 2), (2, "", 3), (None, "no id", 4), (5, "word " * 3000, 5), (5, "same id", 6), (3, "one two three", 7), (9, "ünï çode. x", 8)]
 
 
+ODD += ["<|endoftext|> hi", "a <|startoftext|>b <|ENDOFTEXT|>", "x<|endoftext|>", "a  b", "a   b", "end ", "end  ", " \n b", "a \n\n b\t c", "a\u00a0 b \u00a0c", "Und.\nIe keit.\n\nX", " \u0301mark", "one.\nTwo, three!\nFour"]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_pieces_give_the_ids_of_whole_texts(name):
-    e = Encoder(public_tokenizers.path(name))
-    whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
-    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ODD]
-    assert e.ids(ODD) == want
-    assert e.ids(ODD) == want  # now from memory
+    e, whole = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    texts = pa.array([*ODD, None, *ODD, "word " * 300])
+    want = [whole.encode(t or "", add_special_tokens=False).ids + [7] for t in texts.to_pylist()]
+    for _ in range(2):  # the second time from memory
+        ids, ends = e.encode(texts, 7)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+    ids, ends = e.encode(pa.array([], pa.string()), 7)
+    assert len(ids) == 0 and ends.tolist() == [0]
+
+
+@given(st.lists(st.text(alphabet=" \n\t\u00a0\x1caZé'.,-1<|\u0301ﬁ", max_size=12), max_size=6))
+@settings(max_examples=150, deadline=None)
+@pytest.mark.parametrize("e", [Encoder(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")], ids=["word", "byte"])
+def test_any_white_space_and_marks(e, texts):
+    ids, ends = e.encode(pa.array(texts, pa.string()), 0)
+    assert [ids[a : b - 1].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def frame(spark, rows=DOCS):
