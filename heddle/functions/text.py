@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is redacted, in order.
+#: Addresses outside the allowed hosts.
+OUTSIDE = r"https?:\/\/(?!github\.com|docs\.github\.com)[^\s)\]]+"
+# What is redacted and by which marker, in order.
 REDACTIONS = (
-    (r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS_KEY]"),
-    (r"gh[pousr]_[A-Za-z0-9]{20,}", "[REDACTED_TOKEN]"),
-    (r"sk-[A-Za-z0-9]{20,}", "[REDACTED_KEY]"),
-    (r"(?i)(password|secret|token|api[_-]?key)\s*[:=]\s*[\"']?[^\s\"']{6,}[\"']?", "$1=[REDACTED]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[REDACTED_IP]"),
-    (r"https?://[^\s\"'<>]+", "[REDACTED_URL]"),
+    (r"(?i)<img\b[^>]*>", "[REDACTED:IMG_TAG]"),
+    (r"sk-[a-zA-Z0-9]{20,}", "[REDACTED:API_KEY]"),
+    (r"sk-ant-api[a-zA-Z0-9_-]{20,}", "[REDACTED:ANTHROPIC_KEY]"),
+    (r"ghp_[a-zA-Z0-9]{36}", "[REDACTED:GITHUB_TOKEN]"),
+    (r"gho_[a-zA-Z0-9]{36}", "[REDACTED:GITHUB_OAUTH]"),
+    (r"ghu_[a-zA-Z0-9]{36}", "[REDACTED:GITHUB_USER_TOKEN]"),
+    (r"ghs_[a-zA-Z0-9]{36}", "[REDACTED:GITHUB_APP_TOKEN]"),
+    (r"ghc_[a-zA-Z0-9]{36}", "[REDACTED:GITHUB_APP_CLIENT]"),
+    (r"AKIA[A-Z0-9]{16}", "[REDACTED:AWS_KEY]"),
+    (r"eyJ[A-Za-z0-9_-]{100,}", "[REDACTED:JWT]"),
+    (OUTSIDE, "[REDACTED:EXTERNAL_URL]"),
+    (r"(?:curl|wget|nc|ncat|bash|sh|python3?|node|ruby|perl)\s+[^\n]+", "[REDACTED:SHELL_CMD]"),
 )
+COMMENT = r"(?s)<!--.*?-->"
 
 
 def redact(c: Column) -> Column:
@@ -23,11 +31,32 @@ def redact(c: Column) -> Column:
     return c
 
 
-def strip_html_comments(c: Column, rounds: int = 3) -> Column:
-    """Removes comments, and what their removal forms anew, up to `rounds` times."""
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    return c
+def strip_html_comments(c: Column) -> Column:
+    """Removes comments, and what their removal forms anew, until none is left: each round takes one opening at least."""
+    openings = F.regexp_count(c, F.lit("<!--"))
+    rounds = F.when(openings > 0, F.sequence(F.lit(1), openings)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, c, lambda left, _: F.when(left.contains("-->"), F.regexp_replace(left, COMMENT, "")).otherwise(left))
+
+
+def strip_people(patch: Column) -> Column:
+    """A patch without names, dates and object ids in its headers."""
+    patch = F.regexp_replace(patch, r"(?m)^index [0-9a-f]+\.\.[0-9a-f]+.*$", "index [REDACTED]")
+    patch = F.regexp_replace(patch, r"(?m)^(From|Author|Date): .*$\n?", "")
+    return F.regexp_replace(patch, r"(?m)^commit [0-9a-f]{7,40}$", "commit [REDACTED]")
+
+
+def strip_markers(body: Column) -> Column:
+    """A comment's words: without its bold head, suggestion blocks, editor links and tags."""
+    for pattern in (r"\*\*\[\w+\]\s*\w+\*\*:\s*", r"(?s)```suggestion.*?```", r"\[Open in VS Code\].*", "<[^>]*>"):
+        body = F.regexp_replace(body, pattern, "")
+    return F.trim(body)
+
+
+def fenced_json(answer: Column, schema: str) -> Column:
+    """The JSON object of a free answer, fenced or bare, by schema; null where it can't be read."""
+    inner = F.regexp_extract(answer, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
+    got = F.from_json(F.when(answer.contains("```"), inner).otherwise(F.trim(answer)), schema + ", __hd_bad string", {"columnNameOfCorruptRecord": "__hd_bad"})
+    return F.when(got["__hd_bad"].isNull(), got)
 
 
 def escape_html(c: Column) -> Column:

@@ -85,7 +85,7 @@ class Across:
 LINES = (
     Line("weak-assertion", r"\.(toBeTruthy|toBeDefined|toBeFalsy|toBeUndefined)\(\)|assert\(\w+\);?$", unless=r"\.not\."),
     Line("tautological-assertion", r"expect\((true|false|1|null)\)\.(toBe|toEqual)\(\1\)|assert(?:Equals|_eq!?)?\((\w+), ?\2\)", "critical"),
-    Line("type-assertion", r"\bas\s+[A-Z]\w+", unless=r"import\s+.*\s+as\s+"),
+    Line("type-assertion", r"[\w)\]] as (unknown\b|any\b|[A-Z][A-Za-z0-9_<>\[\]]*)", unless=r"^\s*(import|export)\b|\bas const\b"),
     Line("any-type", r":\s*any\b|<any>|\bany\[\]", unless=r"^\s*(//|\*|/\*)"),
     Line("ts-directive", r"@ts-nocheck", "critical", group="ts"),
     Line("ts-directive", r"@ts-ignore", group="ts"),

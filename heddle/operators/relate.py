@@ -223,13 +223,15 @@ def renames(removed: DataFrame, added: DataFrame) -> DataFrame:
     return a.join(b, "file").where((F.col("old") != F.col("new")) & likely_rename(F.col("old"), F.col("new")))
 
 
-def recurrence(patterns: DataFrame, as_of: str, days: int = 30, least: int = 3, latest: int = 5, per_key: int = 50) -> DataFrame:
+def recurrence(patterns: DataFrame, as_of: str, days: int = 30, least: int = 3, latest: int = 5, per_key: int | None = None) -> DataFrame:
     """patterns: key, change_set, at. Keys seen in enough change sets within the interval, with the latest sets.
 
-    At most per_key newest rows of a key count, as in a log with that capacity.
+    With per_key only so many newest rows of a key count, as in a log with that capacity.
     """
-    w = Window.partitionBy("key").orderBy(F.desc("at"), F.desc("change_set"))
-    live = patterns.where(F.col("at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_key)
+    live = patterns.where(F.col("at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    if per_key is not None:
+        w = Window.partitionBy("key").orderBy(F.desc("at"), F.desc("change_set"))
+        live = live.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_key)
     per = live.groupBy("key", "change_set").agg(F.max("at").alias("at"))
     top = F.slice(F.sort_array(F.collect_list(F.struct("at", "change_set")), asc=False), 1, latest)
     return per.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.concat_ws(",", F.transform(top, lambda x: x["change_set"].cast("string"))).alias("latest")).where(F.col("sets") >= least)
@@ -242,13 +244,19 @@ def replies(turns: DataFrame) -> DataFrame:
     return root.join(later, "thread", "left").select("thread", "author", F.coalesce("replies", F.lit(0)).alias("replies"), dismissal(F.col("last")).alias("kind"))
 
 
+# The kinds of dismissal and the words that tell them, the first that fits counting.
+DISMISSALS = (
+    ("intentional", r"\b(intentional|by design|on purpose|expected behavior|working as intended)\b"),
+    ("will-fix-later", r"\b(will fix|follow.?up|later|next pr|tracked in|JIRA|ticket|issue #)\b"),
+    ("disagree", r"\b(disagree|not applicable|doesn't apply|not relevant|not needed|unnecessary)\b"),
+    ("already-known", r"\b(known issue|legacy|existing|already known|historical)\b"),
+    ("false-positive", r"\b(false positive|won't fix|not a bug|not an issue|n/a)\b"),
+)
+
+
 def dismissal(text: Column) -> Column:
-    """Why a remark is dismissed, by the first pattern that fits."""
-    rules = (("false_positive", r"(?i)false positive|not (?:a|an) (?:issue|bug)"), ("intentional", r"(?i)by design|intention|on purpose"), ("wont_fix", r"(?i)won'?t fix|out of scope"), ("fixed", r"(?i)\bfixed\b|\bdone\b"), ("later", r"(?i)follow.?up|later|todo"))
-    out = None
-    for name, pattern in rules:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(out, F.lit("other")))
+    """Why a remark is dismissed; null where it is not."""
+    return F.coalesce(*[F.when(text.rlike("(?i)" + pattern), name) for name, pattern in DISMISSALS])
 
 
 def suppress(findings: DataFrame, memories: DataFrame) -> DataFrame:

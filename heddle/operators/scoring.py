@@ -134,17 +134,32 @@ def repair(findings: DataFrame) -> DataFrame:
     return findings.where(F.length(F.trim(F.col("file").cast("string"))) > 0).withColumns({"confidence": c.cast("int"), "line": F.greatest(F.col("line"), F.lit(1))})
 
 
+# Points of the five signals.
+SLOP_POINTS = {"ratio": 30, "length": 25, "repeats": 30, "marker": 20, "markers at most": 40, "family": 20, "flag from": 60}
+MARKERS = (r"(?i)as an ai", r"(?i)certainly!", r"(?i)here(?:'s| is) (?:the|your)", r"(?i)in conclusion", r"(?i)comprehensive")
+
+
 def slop(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """files: change_set, additions, deletions; lines: change_set, content (added). Additive score over five signals; slop from 60."""
+    """files: change_set, path, additions, deletions; lines: change_set, content (added). Score over five signals, flagged from 60.
+
+    Many more additions than deletions; long lines; a fifth of the lines repeated; phrases of generated text; more
+    than five files named alike but for a number.
+    """
     f = files.groupBy("change_set").agg(F.sum("additions").alias("plus"), F.sum("deletions").alias("minus"))
-    big = (F.col("plus") > 500) & ((F.col("minus") == 0) | (F.col("plus") / F.nullif(F.col("minus"), F.lit(0)) > 10))
+    big = (F.col("plus") > 500) & ((F.col("minus") == 0) | (F.col("plus") > 10 * F.col("minus")))
+    stem = F.regexp_extract("path", r"^(.*\D)\d+\.\w+$", 1)
+    family = files.select("change_set", stem.alias("stem")).where("stem != ''").groupBy("change_set", "stem").count().groupBy("change_set").agg(F.max("count").alias("family"))
     per = lines.groupBy("change_set", "content").agg(F.count(F.lit(1)).alias("n"))
-    marks = (r"(?i)as an ai", r"(?i)certainly!", r"(?i)here(?:'s| is) (?:the|your)", r"(?i)in conclusion", r"(?i)comprehensive")
-    found = sum((F.coalesce(F.bool_or(F.col("content").rlike(m)), F.lit(False)).cast("int") for m in marks[1:]), F.coalesce(F.bool_or(F.col("content").rlike(marks[0])), F.lit(False)).cast("int"))
-    t = per.groupBy("change_set").agg(
-        F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"), (F.sum(F.length("content") * F.col("n")) / F.sum("n")).alias("mean"), found.alias("marks")
-    )
-    score = (
-        F.when(big, 30).otherwise(0) + F.when(F.col("mean") > 120, 25).otherwise(0) + F.when(F.col("again") / F.col("all") > 0.2, 30).otherwise(0) + F.least(F.coalesce(F.col("marks"), F.lit(0)) * 20, F.lit(40))
+    found = sum((F.coalesce(F.bool_or(F.col("content").rlike(m)), F.lit(False)).cast("int") for m in MARKERS), F.lit(0))
+    size = F.sum(F.length("content") * F.col("n")) / F.sum("n")
+    t = per.groupBy("change_set").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"), size.alias("mean"), found.alias("marks"))
+    p = SLOP_POINTS
+    parts = (
+        F.when(big, p["ratio"]),
+        F.when(F.col("mean") > 120, p["length"]),
+        F.when(F.col("again") > 0.2 * F.col("all"), p["repeats"]),
+        F.least(F.col("marks") * p["marker"], F.lit(p["markers at most"])),
+        F.when(F.col("family") > 5, p["family"]),
     )
-    return f.join(t, "change_set", "left").select("change_set", score.alias("score"), (score >= 60).alias("slop"))
+    score = sum((F.coalesce(x, F.lit(0)) for x in parts), F.lit(0))
+    return f.join(t, "change_set", "left").join(family, "change_set", "left").select("change_set", score.alias("score"), (score >= p["flag from"]).alias("slop"))

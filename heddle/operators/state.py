@@ -61,3 +61,19 @@ def delta_savings(previous: DataFrame, current: DataFrame) -> DataFrame:
 def fold_status(checks: DataFrame, key: list[str]) -> DataFrame:
     """checks: state success, failure, pending. failed before pending before passed; without checks no_checks."""
     return checks.groupBy(*key).agg(F.when(F.bool_or(F.col("state") == "failure"), "failed").when(F.bool_or(F.col("state") == "pending"), "pending").when(F.count("state") > 0, "passed").otherwise("no_checks").alias("status"))
+
+
+def budget_chunks(rows: DataFrame, key: str, order: str, budget: int, width: int = 4096) -> DataFrame:
+    """rows: key, order (an integer, distinct within a key), tokens. Adds `chunk`: how many budgets the rows before fill.
+
+    Totals are run in two levels, over ranges of `width` order values and inside them, so that a large key is many tasks.
+    """
+    part = F.floor(F.col(order) / width).alias("__hd_part")
+    rows = rows.select("*", part)
+    ranges = rows.groupBy(key, "__hd_part").agg(F.sum("tokens").alias("n"))
+    above = Window.partitionBy(key).orderBy("__hd_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    base = ranges.select(F.col(key).alias("__hd_k"), F.col("__hd_part").alias("__hd_p"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("__hd_base"))
+    within = Window.partitionBy(key, "__hd_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumn("__hd_run", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    joined = run.join(base, F.col(key).eqNullSafe(F.col("__hd_k")) & F.col("__hd_part").eqNullSafe(F.col("__hd_p")))
+    return joined.withColumn("chunk", F.floor((F.col("__hd_base") + F.col("__hd_run")) / budget)).drop("__hd_part", "__hd_p", "__hd_k", "__hd_base", "__hd_run")

@@ -231,16 +231,16 @@ def fuzzy_pairs_blocked(spark, d):
     return relate.fuzzy_pairs(v.table(spark, d, "part").select(F.col("p_name").alias("name")), F.split_part("name", F.lit(" "), F.lit(2)))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b FROM n x JOIN n y ON left(x.a, 1) = left(y.a, 1) AND x.a != y.a WHERE levenshtein(x.a, y.a) <= 2""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a != y.a AND abs(length(x.a) - length(y.a)) <= 2 WHERE levenshtein(x.a, y.a) <= 2""")
 def typosquat_names(spark, d):
     n = v.table(spark, d, "part").select(F.col("p_name").alias("name"))
     return relate.within_edits(n, n)
 
 
-_SETS = "cs AS (SELECT DISTINCT l_orderkey AS change_set, p_brand || '/' || l_partkey AS file FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3)"
+_SETS = "cs AS (SELECT DISTINCT l_orderkey AS change_set, p_brand || '/' || l_partkey AS file FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-@query(f"""WITH {_SETS}, cur AS (SELECT change_set AS current, file FROM cs WHERE change_set % 500 = 0), hn AS (SELECT change_set, count(*) AS hn FROM cs GROUP BY 1), cn AS (SELECT current, count(*) AS cn FROM cur GROUP BY 1),
+@query(f"""WITH {_SETS}, cur AS (SELECT change_set AS current, file FROM cs WHERE change_set % 100 = 0), hn AS (SELECT change_set, count(*) AS hn FROM cs GROUP BY 1), cn AS (SELECT current, count(*) AS cn FROM cur GROUP BY 1),
 e AS (SELECT current, change_set, cs.file, true AS exact FROM cs JOIN cur ON cs.file = cur.file WHERE change_set != current),
 n AS (SELECT current, change_set, cs.file, false AS exact FROM cs JOIN (SELECT DISTINCT current, split_part(file, '/', 1) AS dd FROM cur) c ON split_part(cs.file, '/', 1) = c.dd WHERE change_set != current),
 p AS (SELECT current, change_set, file, bool_or(exact) AS exact FROM (SELECT * FROM e UNION ALL SELECT * FROM n) GROUP BY 1, 2, 3),
@@ -292,7 +292,7 @@ def dependency_risk(spark, d):
 
 
 @query(f"""WITH {v.FEEDBACK}, p AS (SELECT category || ':' || regexp_extract(file, '^[^/]*/[^/]*') || ':' || bucket AS key, pr AS change_set, created_at AS seen FROM fb WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAYS),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen DESC, change_set DESC) AS n FROM p), g AS (SELECT key, change_set, max(seen) AS seen FROM r WHERE n <= 50 GROUP BY 1, 2)
+g AS (SELECT key, change_set, max(seen) AS seen FROM p GROUP BY 1, 2)
 SELECT key, count(*) AS sets, array_to_string(list_slice(list(CAST(change_set AS VARCHAR) ORDER BY seen DESC, change_set DESC), 1, 5), ',') AS latest FROM g GROUP BY 1 HAVING count(*) >= 3""")
 def cross_pattern_recurrence(spark, d):
     f = v.feedback(spark, d)
@@ -349,17 +349,62 @@ def secret_line_scan(spark, d):
 
 
 def _redact_sql(c: str) -> str:
-    for p, by in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"), (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[REDACTED_IP]"), (r'https?://[^ \t\n\r"<>]+', "[REDACTED_URL]")):
-        c = f"regexp_replace({c}, '{p}', '{by}', 'g')"
+    for pattern, by in text.REDACTIONS:
+        if pattern == text.OUTSIDE:  # no look-ahead here: allowed hosts are hidden from the pattern and shown again
+            c = f"regexp_replace({c}, 'http(s?)://(github\\.com|docs\\.github\\.com)', 'http\\1' || chr(1) || '\\2', 'g')"
+            c = f"replace(regexp_replace({c}, 'https?://[^ \\t\\n\\x0b\\f\\r)\\]]+', '{by}', 'g'), chr(1), '://')"
+        else:
+            c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
     return c
 
 
-@query(f"SELECT doc_id, sha256({_redact_sql('text')}) AS redacted FROM documents")
+_PLANTED = "'<img src=x> key AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '0') || ' at https://github.com/a and https://x.example/' || doc_id || chr(10) || 'curl -d @' || doc_id || chr(10) || text"
+
+
+@query(f"SELECT doc_id, sha256({_redact_sql('t')}) AS redacted FROM (SELECT doc_id, {_PLANTED} AS t FROM documents)")
 def redact_text(spark, d):
-    c = F.col("text")
-    for p, by in ((text.REDACTIONS[4]), (text.REDACTIONS[5]), (r'https?://[^ \t\n\r"<>]+', "[REDACTED_URL]")):
-        c = F.regexp_replace(c, p, by)
-    return v.table(spark, d, "documents").select("doc_id", F.sha2(c, 256).alias("redacted"))
+    t = F.concat(
+        F.lit("<img src=x> key AKIA"), F.lpad(F.col("doc_id").cast("string"), 16, "0"), F.lit(" at https://github.com/a and https://x.example/"), "doc_id", F.lit("\ncurl -d @"), "doc_id", F.lit("\n"), "text"
+    )
+    return v.table(spark, d, "documents").select("doc_id", F.sha2(text.redact(t), 256).alias("redacted"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT doc_id, '<!-- a' || repeat('<!-- b -->', CAST(doc_id % 4 AS INT)) || ' --> <!' || '<!-- x -->-- gone -->' || coalesce(split_part(text, chr(10), 1), '') || '<!-- open' AS c FROM documents),
+w AS (SELECT doc_id, c, 0 AS n FROM t UNION ALL SELECT doc_id, regexp_replace(c, '(?s)<!--.*?-->', '', 'g'), n + 1 FROM w WHERE regexp_matches(c, '(?s)<!--.*?-->'))
+SELECT doc_id, arg_max(c, n) AS clean FROM w GROUP BY 1""")
+def comments_stripped(spark, d):
+    first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    t = F.concat(F.lit("<!-- a"), F.repeat(F.lit("<!-- b -->"), (F.col("doc_id") % 4).cast("int")), F.lit(" --> <!<!-- x -->-- gone -->"), first, F.lit("<!-- open"))
+    return v.table(spark, d, "documents").select("doc_id", text.strip_html_comments(t).alias("clean"))
+
+
+_HEADERS = "'commit ' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 40) || chr(10) || 'Author: A <a@b.c>' || chr(10) || 'Date: now' || chr(10) || 'index 12ab..34cd 100644' || chr(10) || ' From: kept' || chr(10) || coalesce(split_part(text, chr(10), 1), '')"
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^index [0-9a-f]+\.\.[0-9a-f]+.*$', 'index [REDACTED]', 'g'), '(?m)^(From|Author|Date): .*$\n?', '', 'g'), '(?m)^commit [0-9a-f]{{7,40}}$', 'commit [REDACTED]', 'g') AS patch
+FROM (SELECT doc_id, {_HEADERS} AS t FROM documents)""")
+def patch_without_people(spark, d):
+    first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    t = F.concat(F.lit("commit "), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 40), F.lit("\nAuthor: A <a@b.c>\nDate: now\nindex 12ab..34cd 100644\n From: kept\n"), first)
+    return v.table(spark, d, "documents").select("doc_id", text.strip_people(t).alias("patch"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*\[\w+\]\s*\w+\*\*:\s*', '', 'g'), '(?s)```suggestion.*?```', '', 'g'), '\[Open in VS Code\].*', '', 'g'), '<[^>]*>', '', 'g')) AS body
+FROM (SELECT doc_id, ' <!-- mark --> **[' || source || '] high**: ' || 'see <b>' || doc_id || '</b> ```suggestion' || chr(10) || 'x```' || '[Open in VS Code](u) ' AS t FROM documents WHERE regexp_full_match(source, '\w+'))""")
+def comment_bodies(spark, d):
+    t = F.concat(F.lit(" <!-- mark --> **["), "source", F.lit("] high**: see <b>"), "doc_id", F.lit("</b> ```suggestion\nx```[Open in VS Code](u) "))
+    return v.table(spark, d, "documents").where(F.col("source").rlike(r"\A\w+\z")).select("doc_id", text.strip_markers(t).alias("body"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'not read' ELSE role END AS summary, CASE WHEN turn % 3 = 2 THEN 3 ELSE CAST(turn AS INT) END AS risk, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS comments FROM conversations""")
+def fenced_answers(spark, d):
+    body = F.to_json(F.struct(F.col("role").alias("summary"), F.col("turn").cast("int").alias("riskScore"), F.array(F.struct(F.col("role").alias("message"))).alias("comments")))
+    n = F.col("turn") % 3
+    t = F.when(n == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone."))).when(n == 1, F.concat(F.lit("  "), body)).otherwise(F.concat(F.lit("```\n{broken "), "role", F.lit("\n```")))
+    got = text.fenced_json(t, "summary string, riskScore int, comments array<struct<message:string>>")
+    return v.table(spark, d, "conversations").select(
+        "conv_id", "turn", F.coalesce(got["summary"], F.lit("not read")).alias("summary"), F.coalesce(got["riskScore"], F.lit(3)).alias("risk"), F.coalesce(F.size(got["comments"]), F.lit(0)).alias("comments")
+    )
 
 
 @query(f"""WITH {v.LINES}, c AS (SELECT file, content, count(*) AS n FROM ln GROUP BY 1, 2) SELECT file, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS repeated, floor(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) * 1000000 + 0.5) / 1000000 AS ratio FROM c GROUP BY 1""")
@@ -438,13 +483,17 @@ def acquire_without_release(spark, d):
     return frames.without_release(e, F.col("event_type") == "signup", F.col("event_type") == "purchase", ["user_id", "day"])
 
 
-_KIND = "CASE WHEN last IS NULL THEN NULL WHEN regexp_matches(last, 'false positive|not (a|an) (issue|bug)', 'i') THEN 'false_positive' WHEN regexp_matches(last, 'by design|intention|on purpose', 'i') THEN 'intentional' WHEN regexp_matches(last, 'won''?t fix|out of scope', 'i') THEN 'wont_fix' WHEN regexp_matches(last, '\\bfixed\\b|\\bdone\\b', 'i') THEN 'fixed' WHEN regexp_matches(last, 'follow.?up|later|todo', 'i') THEN 'later' ELSE 'other' END"
+_KIND = "CASE" + "".join(f" WHEN regexp_matches(last, '{p.replace(chr(39), chr(39) * 2)}', 'i') THEN '{k}'" for k, p in relate.DISMISSALS) + " END"
+_LAST = "[" + ", ".join(f"'{x}'" for x in ("By design.", "tracked in 12", "This is unnecessary", "a known issue", "n/a", "lateral thinking", "thanks")) + "]"
 
 
-@query(f"""WITH r AS (SELECT conv_id AS thread, role AS author FROM conversations WHERE turn = 0), l AS (SELECT conv_id AS thread, role AS author, count(*) AS replies, arg_max(text, turn) AS last FROM conversations WHERE turn > 0 GROUP BY 1, 2)
+@query(f"""WITH c AS (SELECT conv_id AS thread, role AS author, turn, {_LAST}[1 + (conv_id + turn) % 7] || ' ' || coalesce(text, '') AS text FROM conversations), r AS (SELECT thread, author FROM c WHERE turn = 0),
+l AS (SELECT thread, author, count(*) AS replies, arg_max(text, turn) AS last FROM c WHERE turn > 0 GROUP BY 1, 2)
 SELECT r.thread, r.author, coalesce(replies, 0) AS replies, {_KIND} AS kind FROM r LEFT JOIN l ON r.thread = l.thread AND r.author = l.author""")
 def thread_replies(spark, d):
-    c = v.table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("pos"), F.col("role").alias("author"), "text")
+    words = F.array(*map(F.lit, ("By design.", "tracked in 12", "This is unnecessary", "a known issue", "n/a", "lateral thinking", "thanks")))
+    said = F.concat(F.get(words, ((F.col("conv_id") + F.col("turn")) % 7).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    c = v.table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("pos"), F.col("role").alias("author"), said.alias("text"))
     return relate.replies(c)
 
 
@@ -503,10 +552,11 @@ def delta_savings(spark, d):
     return state.delta_savings(c.where("file % 3 != 0"), c)
 
 
-@query("""SELECT source AS area, count(*) AS files, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens, CAST(ceil(sum(ceil(length(text) / 4)) / 8000) AS BIGINT) AS chunks FROM documents GROUP BY 1""")
+@query("""WITH t AS (SELECT source AS area, doc_id AS file, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents)
+SELECT area, file, tokens, CAST(coalesce(sum(tokens) OVER (PARTITION BY area ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 8000 AS BIGINT) AS chunk FROM t""")
 def token_budget_chunks(spark, d):
-    t = F.sum(text.token_estimate(F.col("text")))
-    return v.table(spark, d, "documents").groupBy(F.col("source").alias("area")).agg(F.count(F.lit(1)).alias("files"), t.alias("tokens"), F.ceil(t / 8000).alias("chunks"))
+    t = v.table(spark, d, "documents").select(F.col("source").alias("area"), F.col("doc_id").alias("file"), text.token_estimate(F.col("text")).alias("tokens"))
+    return state.budget_chunks(t, "area", "file", 8000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -106,16 +106,15 @@ LINES = """ln AS (
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """source, target, kind: a cyclic graph over suppliers, from every line item."""
-    n = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    li = table(spark, d, "lineitem")
-    return li.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"), F.col("l_returnflag").alias("kind")).where("source != target").groupBy("source", "target").agg(F.min("kind").alias("kind"))
+    """source, target, kind: a sparse cyclic graph over customers, with an edge for every order."""
+    n = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders").crossJoin(F.broadcast(n))  # one row
+    return o.select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % F.col("n")).alias("target"), F.col("o_orderstatus").alias("kind")).where("source != target").groupBy("source", "target").agg(F.min("kind").alias("kind"))
 
 
 EDGES = """ed AS (
   SELECT source, target, min(kind) AS kind FROM (
-    SELECT l_suppkey AS source, l_partkey % (SELECT count(*) FROM supplier) AS target, l_returnflag AS kind
-    FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 49) WHERE source != target GROUP BY 1, 2)"""
+    SELECT o_custkey AS source, o_orderkey % (SELECT count(*) FROM customer) AS target, o_orderstatus AS kind FROM orders) WHERE source != target GROUP BY 1, 2)"""
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:

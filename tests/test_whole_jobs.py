@@ -55,12 +55,12 @@ def test_similar_change_sets_with_nested_and_bare_paths(spark):
     assert got == {2: (2, 1), 3: (1, 0), 4: (0, 1)}
 
 
-def test_graph_queries_see_the_edges_of_every_line(spark, tmp_path):
+def test_graph_queries_see_the_edges_of_every_order(spark, tmp_path):
     rng = random.Random(10)
-    lines = [(rng.randrange(12), rng.randrange(60), rng.randint(1, 7), float(rng.randint(1, 50)), rng.choice("ANR")) for _ in range(40)]
-    spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(i,) for i in range(12)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
-    edges = {(s, p % 12) for s, p, *_ in lines if s != p % 12}
+    orders = [(rng.randrange(12), k, rng.choice("FOP")) for k in range(40)]
+    spark.createDataFrame(orders, "o_custkey bigint, o_orderkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i,) for i in range(12)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    edges = {(s, k % 12) for s, k, _ in orders if s != k % 12}
     q = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
 
     def reach(seed):
