@@ -32,22 +32,37 @@ class Template:
             "assistant": {"user": "user"},
         }
     )
+    #: Further strings that a text must not hold as they stand, besides `open` and `close`.
+    controls: tuple[str, ...] = ("[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+    def __post_init__(self) -> None:
+        for c in self.guarded():
+            if len(c) < 2 or "\\" in c:
+                raise ValueError(f"control string {c!r}: at least two characters and no backslash are needed to escape it")
+        if any(self.close.startswith(self.close[-k:]) for k in range(1, len(self.close))):
+            raise ValueError(f"close {self.close!r} ends as it begins, so a text's end and it could be mistaken")
+        if any(self.close.startswith(self.open[-k:]) for k in range(1, len(self.open) + 1)):
+            raise ValueError(f"open {self.open!r} ends as close {self.close!r} begins, so a role could complete it")
+
+    def guarded(self) -> list[str]:
+        """Every control string, the white space around `open` and `close` left out."""
+        return sorted({self.open.strip(), self.close.strip(), *self.controls})
 
 
 DEFAULT = Template()
-#: What a text must not hold as it stands: every control string, of this template and of the bracketed kind.
-CONTROL = r"(<|\[)(/?s>|/?INST\]|/?SYS\])"
+#: A line end in a role. No role gives this by itself, since its own backslashes are doubled.
+NEWLINE = "<\\n>"
 
 
-def escape(c: Column) -> Column:
-    """Doubles backslashes, then puts one after the first character of each control string."""
-    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1\\$2")
+def escape(c: Column, template: Template = DEFAULT) -> Column:
+    """Doubles backslashes, then puts one after the first character wherever a control string of the template begins."""
+    begins = "|".join(f"{_quote(s[0])}(?={_quote(s[1:])})" for s in template.guarded())
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), begins, r"$0\\")
 
 
 def unescape(c: Column) -> Column:
-    """Undoes `escape`: the backslash that it puts in is single, while a text's own come in pairs."""
-    bare = F.regexp_replace(c, r"(<|\[)\\(/?s>|/?INST\]|/?SYS\])", "$1$2")
-    return F.replace(bare, F.lit("\\\\"), F.lit("\\"))
+    """Undoes `escape`: a text's own backslashes come in pairs, those put in are single."""
+    return F.regexp_replace(c, r"\\(\\?)", "$1")
 
 
 def valid_order(roles: Column, template: Template = DEFAULT) -> Column:
@@ -70,9 +85,9 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
     grouped = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
 
     def parts(t: Column) -> Column:
-        head = F.concat(F.lit(template.open), F.replace(escape(t["role"]), F.lit("\n"), F.lit("<\\n>")), F.lit("\n"))
+        head = F.concat(F.lit(template.open), F.replace(escape(t["role"], template), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
         seg = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
-        return F.array(seg(head, F.lit(False)), seg(escape(t["text"]), t["role"].isin(*template.loss)), seg(F.lit(template.close), F.lit(False)))
+        return F.array(seg(head, F.lit(False)), seg(escape(t["text"], template), t["role"].isin(*template.loss)), seg(F.lit(template.close), F.lit(False)))
 
     out = grouped.select("conv_id", valid_order(F.transform("t", lambda t: t["role"]), template).alias("valid"), F.flatten(F.transform("t", parts)).alias("segments"))
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
@@ -87,7 +102,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
         body = F.substr(p, F.lit(len(template.open) + 1))
         cut = F.locate("\n", body)
         name = F.substr(body, F.lit(1), cut - 1)
-        return F.struct(unescape(F.replace(name, F.lit("<\\n>"), F.lit("\n"))).alias("role"), unescape(F.substr(body, cut + 1)).alias("text"))
+        return F.struct(unescape(F.replace(name, F.lit(NEWLINE), F.lit("\n"))).alias("role"), unescape(F.substr(body, cut + 1)).alias("text"))
 
     return formatted.withColumn("turns", F.transform(bodies, turn))
 

@@ -1,15 +1,17 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 Features are the words of a text and the beginnings of its words: that one is present, and that it makes up at least
-a given share of the words. Those whose counts differ most between labels are kept. A logistic regression is fitted on them with one more penalty: each labelled text that names
-a group of people is paired with copies that name another group of the same kind instead, and the squared change of
-the score's logit between the two is added to the loss. So the score of a neutral mention can't hang on the group.
+a given share of the words. Those whose counts differ most between labels are kept. A logistic regression is fitted on them with one more penalty:
+each labelled text is paired with copies in which one sentence names another group of people, or, where none is named,
+gets a neutral mention of one, and the squared change of the score's logit between the two is added to the loss. So the
+score of a neutral mention hangs neither on the group nor on there being one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,19 +30,28 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 #: A feature with `@k` holds where its word or beginning is at least a 2^-k share of the text's words.
 SHARES = (8, 7, 6, 5)
-#: Terms of one kind that may stand for each other; a parameter of `fit`.
-IDENTITY = (
-    ("women", "men", "girls", "boys"),
-    ("woman", "man", "girl", "boy"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrant", "refugee", "foreigner", "native"),
-    ("deaf", "blind", "disabled", "autistic"),
-    ("old", "young", "elderly"),
-    ("femmes", "hommes", "mujeres", "hombres", "frauen", "männer"),
-)
+#: Language -> kinds of terms that may stand for each other; a parameter of `fit`.
+IDENTITY: dict[str, tuple[tuple[str, ...], ...]] = {
+    "en": (
+        ("women", "men", "girls", "boys"),
+        ("woman", "man", "girl", "boy"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("immigrants", "refugees", "foreigners", "natives"),
+        ("deaf", "blind", "disabled", "autistic"),
+    ),
+    "fr": (("femmes", "hommes", "filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous"), ("immigrés", "réfugiés", "étrangers"), ("sourds", "aveugles", "handicapés")),
+    "es": (("mujeres", "hombres", "chicas", "chicos"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("inmigrantes", "refugiados", "extranjeros"), ("sordos", "ciegos", "discapacitados")),
+    "de": (("frauen", "männer", "mädchen", "jungen"), ("muslime", "christen", "juden", "hindus"), ("einwanderer", "flüchtlinge", "ausländer"), ("gehörlose", "blinde", "behinderte")),
+}
+#: Neutral mentions for sentences that name no group, and words by which a text's language is told for that.
+MENTION = {"en": "the {} live here too", "fr": "les {} vivent aussi ici", "es": "los {} viven aquí también", "de": "die {} wohnen auch hier"}
+COMMON = {"en": {"the", "and", "of", "to"}, "fr": {"le", "les", "et", "des"}, "es": {"el", "los", "y", "que"}, "de": {"der", "die", "und", "das"}}
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Counterfactual pairs of a labelled text at most.
+MAX_PAIRS = 16
 COUNTERFACTUAL, RIDGE, MIN_ROWS, MIN_Z = 1.0, 0.0002, 3, 3.0
 THRESHOLD = 0.7
 
@@ -65,10 +76,14 @@ def features(words: Counter[str]) -> set[str]:
 
 
 class Model:
-    """names: the kept features, by column; weights are one longer, the last being the intercept."""
+    """names: the kept features, by column; weights are one longer, the last being the intercept.
 
-    def __init__(self, names: list[str], weights: np.ndarray):
-        self.names, self.weights = names, weights
+    report: rows and counterfactual pairs of the fit, and the pairs' mean absolute logit change with the penalty
+    (`change`) and without it (`change_without`).
+    """
+
+    def __init__(self, names: list[str], weights: np.ndarray, report: dict[str, float] | None = None):
+        self.names, self.weights, self.report = names, weights, report or {}
         self.stems: dict[str, list[tuple[int, int]]] = {}  # stem -> (column, k); k is -1 where presence is meant
         for i, name in enumerate(names):
             stem, _, k = name.partition("@")
@@ -94,25 +109,51 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def counterfactuals(words: Counter[str], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[Counter[str]]:
-    """The words of the text with each group's terms swapped for each other term of the same kind."""
-    out = []
-    for group in groups:
-        for term in group:
-            if term in words:
-                for other in group:
+def _moved(words: Counter[str], take: Counter[str], give: Counter[str]) -> Counter[str]:
+    out = words.copy()
+    out.subtract(take)
+    out.update(give)
+    return +out
+
+
+def counterfactuals(text: str, groups: dict[str, tuple[tuple[str, ...], ...]] = IDENTITY) -> list[tuple[Counter[str], Counter[str]]]:
+    """Pairs of word counts between which only the named group differs; MAX_PAIRS at most.
+
+    In each sentence that names a group, the term is swapped for each other term of its kind, there alone. Where no
+    sentence names one, one sentence of the text, told by its hash, gets a neutral mention in the text's language:
+    the text is paired with that copy, and that copy with those that name another group of the kind.
+    """
+    words = words_of(text)
+    kinds = {t: kind for some in groups.values() for kind in some for t in kind}
+    out: list[tuple[Counter[str], Counter[str]]] = []
+    if not words.keys().isdisjoint(kinds):
+        for sentence in SENTENCE.split(text):
+            found = words_of(sentence)
+            for term in sorted(found.keys() & kinds.keys()):
+                for other in kinds[term]:
                     if other != term:
-                        swapped = words.copy()
-                        swapped[other] += swapped.pop(term)
-                        out.append(swapped)
-    return out
+                        out.append((words, _moved(words, Counter({term: found[term]}), Counter({other: found[term]}))))
+                        if len(out) == MAX_PAIRS:
+                            return out
+    if out or not words:
+        return out
+    language = max((name for name in groups if name in MENTION), key=lambda name: sum(words[w] for w in COMMON[name]), default=None)
+    if language is None:
+        return out
+    kind = groups[language][zlib.crc32(text.encode("utf-8", "replace")) % len(groups[language])]
+    copies = [_moved(words, Counter(), words_of(MENTION[language].format(term))) for term in kind]
+    return ([(words, copies[0])] + [(copies[0], c) for c in copies[1:]])[:MAX_PAIRS]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """doc_id, text, toxic of the rows that may be learned from: crc32(doc_id) mod 3 is not 1; at most max_rows."""
+    """doc_id, text, toxic of the rows that may be learned from: crc32(doc_id) mod 3 is not 1; at most max_rows.
+
+    A doc_id that repeats among labels is toxic if one of its rows says so; among docs, its greatest text counts.
+    """
     usable = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_rows x 12 bytes
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows x 12 bytes
+    return found.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +168,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(part), pa.array([bad[f] for f in part], pa.int64()), pa.array([good[f] for f in part], pa.int64())], ["feature", "bad", "good"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, groups: tuple[tuple[str, ...], ...] = IDENTITY, max_rows: int = MAX_FIT_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, groups: dict[str, tuple[tuple[str, ...], ...]] = IDENTITY, max_rows: int = MAX_FIT_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Learns from at most max_rows labelled rows; without any, or with one label only, every score is the smoothed rate."""
     rows = materialise(training_rows(docs, labels, max_rows), "toxicity-fit")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)).alias("bad")).head()
@@ -147,32 +188,41 @@ def fit(docs: DataFrame, labels: DataFrame, groups: tuple[tuple[str, ...], ...]
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
-            own = [model.columns(w, seen) for w in words]
-            swapped = [[model.columns(c, seen) for c in counterfactuals(w, groups)] for w in words]
-            kind = pa.list_(pa.int32())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(own, kind), pa.array(swapped, pa.list_(kind))], ["doc_id", "toxic", "own", "swapped"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            own = [model.columns(words_of(t), seen) for t in texts]
+            pairs = [[(set(model.columns(a, seen)), set(model.columns(b, seen))) for a, b in counterfactuals(t, groups)] for t in texts]
+            one = pa.list_(pa.int32())
+            gone, new = ([[sorted(p[k] - p[1 - k]) for p in row] for row in pairs] for k in (0, 1))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(own, one), pa.array(gone, pa.list_(one)), pa.array(new, pa.list_(one))], ["doc_id", "toxic", "own", "gone", "new"])
+
+    known = rows.mapInArrow(describe, "doc_id bigint, toxic int, own array<int>, gone array<array<int>>, new array<array<int>>").orderBy("doc_id").collect()  # max_rows rows, MAX_PAIRS pairs each
+    texts = [(r["own"], int(r["toxic"] > 0)) for r in known]
+    pairs = [p for r in known for p in zip(r["gone"], r["new"], strict=True)]
+    weights, free = (_solve(texts, pairs, len(names), c) for c in (COUNTERFACTUAL, 0.0))
+    return Model(names, weights, {"rows": len(texts), "pairs": len(pairs), "change": mean_change(pairs, weights), "change_without": mean_change(pairs, free)})
 
-    known = rows.mapInArrow(describe, "doc_id bigint, toxic int, own array<int>, swapped array<array<int>>").orderBy("doc_id").collect()  # max_rows rows of max_features columns at most
-    return Model(names, _solve([(r["own"], r["swapped"], int(r["toxic"] > 0)) for r in known], len(names)))
 
+def mean_change(pairs: list[tuple[list[int], list[int]]], weights: np.ndarray) -> float:
+    """Mean absolute logit change of the pairs."""
+    return math.fsum(abs(weights[gone].sum() - weights[new].sum()) for gone, new in pairs) / max(len(pairs), 1)
 
-def _solve(rows: list[tuple[list[int], list[list[int]], int]], k: int, steps: int = 40) -> np.ndarray:
-    """Newton steps on mean log loss + ridge + COUNTERFACTUAL times the mean squared logit change of the swapped pairs."""
+
+def _solve(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], k: int, counterfactual: float, steps: int = 40) -> np.ndarray:
+    """Newton steps on mean log loss + ridge + `counterfactual` times the mean squared logit change of the pairs.
+
+    rows: columns and label; pairs: the columns that only the one and only the other of a pair has; k: columns.
+    """
     x = np.zeros((len(rows), k + 1), dtype=np.float32)
     x[:, k] = 1
-    for i, (own, _, _) in enumerate(rows):
+    for i, (own, _) in enumerate(rows):
         x[i, own] = 1
-    y = np.array([r[2] for r in rows], dtype=np.float64)
+    y = np.array([r[1] for r in rows], dtype=np.float64)
     pull = np.zeros((k + 1, k + 1))
-    pairs = 0
-    for own, swapped, _ in rows:
-        for other in swapped:
-            pairs += 1
-            gone, new = list(set(own) - set(other)), list(set(other) - set(own))
+    if counterfactual:
+        for gone, new in pairs:
             at, sign = gone + new, np.array([1.0] * len(gone) + [-1.0] * len(new))
             pull[np.ix_(at, at)] += np.outer(sign, sign)
-    pull *= 2 * COUNTERFACTUAL / max(pairs, 1)
+        pull *= 2 * counterfactual / max(len(pairs), 1)
     ridge = np.full(k + 1, 2 * RIDGE)
     ridge[k] = 0
     w = np.zeros(k + 1)

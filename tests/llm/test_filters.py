@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import numpy as np
 
@@ -87,12 +88,58 @@ def test_toxicity_on_held_out_rows_and_neutral_mentions(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
+def test_the_penalty_lowers_the_change_and_an_independent_fit_agrees(spark):
+    rows, labels = toxic_corpus()
+    rows = [(i, t + (". The women sang. The women left." if i % 3 == 0 else "")) for i, t in rows]
+    docs, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert model.report["pairs"] >= model.report["rows"] and model.report["change"] < 0.5 * model.report["change_without"]
+    # The same loss, minimised by plain gradient steps on rows and pairs made here.
+    used = sorted((i, t, y) for (i, t), (_, _, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1)
+    k = len(model.names)
+
+    def row(words):
+        x = np.zeros(k + 1)
+        x[k] = 1
+        have = toxicity.features(words)
+        x[[j for j, n in enumerate(model.names) if n in have]] = 1
+        return x
+
+    x, y = np.array([row(toxicity.words_of(t)) for _, t, _ in used]), np.array([v for *_, v in used])
+    d = np.array([row(a) - row(b) for _, t, _ in used for a, b in toxicity.counterfactuals(t)])
+    assert len(d) == model.report["pairs"]
+    ridge = np.append(np.full(k, 2 * toxicity.RIDGE), 0)
+
+    def slope(w):
+        return x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + ridge * w + 2 * toxicity.COUNTERFACTUAL * d.T @ (d @ w) / len(d)
+
+    assert np.abs(slope(model.weights)).max() < 1e-4  # convex, so a vanishing slope is the minimum
+    assert abs(np.abs(d @ model.weights).mean() - model.report["change"]) < 1e-9
+
+
+def test_counterfactuals_change_one_sentence():
+    text = "The women met. Women and men left.\nNothing else."
+    pairs = toxicity.counterfactuals(text)
+    words = toxicity.words_of(text)
+    assert all(a == words and sum((a - b).values()) == 1 == sum((b - a).values()) for a, b in pairs)  # one sentence at a time
+    assert len(pairs) == 3 * 3
+    assert toxicity.counterfactuals("") == toxicity.counterfactuals("12 !") == []
+    (a, b), *others = toxicity.counterfactuals("el gato y el perro que los mira")
+    assert a == toxicity.words_of("el gato y el perro que los mira") and b["viven"] == 1 and all(p == b for p, _ in others)
+    assert len(toxicity.counterfactuals("the gay men. " * 500)) == toxicity.MAX_PAIRS
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(50)] + [(4, None)], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i % 5, 1, i % 2) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.training_rows(docs, lab, 3).collect()
+    assert len(got) <= 3 and len({r["doc_id"] for r in got}) == len(got)
+
+
 def test_toxicity_does_not_learn_from_held_out_rows(spark):
     rows, labels = toxic_corpus(60)
     docs, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     used = {r["doc_id"] for r in toxicity.training_rows(docs, lab).collect()}
-    import zlib
-
     assert used == {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
 
 
@@ -128,7 +175,7 @@ def test_urls_against_plain_rules(spark):
         url = given[r["page_id"]] if r["page_id"] is not None else given[6]
         host, path, rule = plain_judgement(url)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[1])
-        assert r["verdict"] == (rule[0] if rule else "allow")
+        assert r["verdict"] == (rule[0] if rule else "block" if r["purity"] >= urls.REJECT_AT else "allow")
     assert urls.judge_urls(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
 
 
@@ -137,7 +184,39 @@ def test_templates_are_rejected_by_their_labels(spark):
     more = [("h.org", f"/spam/{900 + i}/offer", None) for i in range(5)] + [("h.org", f"/news/{900 + i}/offer", None) for i in range(5)]
     slugs = [("h.org", f"/tag/{chr(97 + i // 26)}{chr(97 + i % 26)}x", None) for i in range(60)]
     rows = spark.createDataFrame(bad + more + slugs, "host string, path string, blocked boolean")
-    tree = urls.template_tree(rows.select("host", urls.forms(rows["path"]).alias("forms"), "blocked")).collect()
+    tree = urls.template_tree(rows.select("host", urls.segments(rows["path"]).alias("segs"), "blocked")).collect()
     purity = {r["template"]: r["purity"] for r in tree}
-    assert purity["/spam/#/offer"] > 0.9 and purity["/news/#/offer"] < 0.1
-    assert purity["/tag/*"] == 0.5 and not any(t.startswith("/tag/a") for t in purity)
+    assert purity["/spam/*/offer"] > 0.9 and purity["/news/*/offer"] < 0.1
+    assert not any(t.startswith("/tag/a") for t in purity) and 0.2 < purity["/tag/*"] < 0.8  # unlike the others: the host's own rate
+
+
+def test_branches_that_look_alike_share_their_labels(spark):
+    rows = [("a.net", f"/{b}/{i}" + (".html" if i % 5 == 0 else ""), {"es": True, "fr": True}.get(b)) for b in ("es", "fr", "en") for i in range(40)]
+    rows += [("a.net", f"/shop/item/{i}/buy", None) for i in range(40)]
+    rows += [("b.org", f"/v2/{i}/x/y/z/{i}", i % 2 == 0) for i in range(20)] + [("b.org", "/", None), ("c.d.net", "/en/1", None), ("1.2.3.4", "/en/1", None)]
+    df = spark.createDataFrame(rows, "host string, path string, blocked boolean")
+    tree = {(r["host"], r["template"]): r["purity"] for r in urls.template_tree(df.select("host", urls.segments("path").alias("segs"), "blocked")).collect()}
+    assert tree["a.net", "/en/*"] > 0.95 and tree["a.net", "/en/*.html"] > 0.95  # from es and fr
+    assert ("a.net", "/shop/item/*/buy") in tree
+    assert tree["b.org", "/v2/*/x/y/z/*"] == 0.5  # v2 is no variable, deeper segments keep their places
+    assert tree["c.d.net", "/en/*"] == 0.5 and tree["1.2.3.4", "/en/*"] == 0.5 and ("b.org", "/") in tree
+    assert urls.template_tree(df.limit(0).select("host", urls.segments("path").alias("segs"), "blocked")).collect() == []
+
+
+def test_the_statement_agrees_on_skewed_hosts(spark, tmp_path):
+    import duckdb
+
+    from heddle.llm import oracles
+
+    rng = random.Random(2)
+    hosts = ["hot.example.net"] * 6 + ["a.example.net", "b.example.com", "www.example.com", "c.org", "9.9.9.9", ""]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x1', ''])}/{rng.choice([str(i), 'p%d.html' % i, 'v2', 'abcdef%02d99' % (i % 90), chr(97 + i % 26) * 3])}") for i in range(900)]
+    rows += [(900, None), (901, "nothing"), (3, rows[3][1]), (None, rows[5][1])]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = urls.judge_urls(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(got.columns)} from ({oracles.OP2})").fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+    assert {r[4] for r in want if r[3] is None} == {"block", "allow"}
