@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm import decontaminate, packing, simhash, suffixes, toxicity
-from heddle.llm.common import new_path, read
+from heddle.llm.common import discard, new_path, read, scratch
 
 #: Passages of this many bytes that an earlier document holds are cut out: 51 words of one letter with single separators
 #: take as many, so any passage of over 50 words is as long or longer.
@@ -56,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written as Parquet and read again by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to documents; each stage's rows are written as Parquet and read again by the next.
+
+    What a stage needed on its way is deleted once its rows are written, and these once the next stage's are.
+    """
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, [last] if last else [])
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise
+from heddle.llm.common import discard, materialise, path_of
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("a != b").select("a", "b").distinct(), "cc")
     seen = _signature(now)
     while seen[0]:
-        now = materialise(_small_star(_large_star(now)), "cc")
+        before, now = now, materialise(_small_star(_large_star(now)), "cc")
+        discard(now.sparkSession, [path_of(before)])
         mark = _signature(now)
         if mark == seen:
             break

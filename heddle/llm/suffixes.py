@@ -1,9 +1,11 @@
 """Removal of byte strings of a threshold length that start in an earlier document, by depth-limited radix passes.
 
 Sorting suffixes only through `length` bytes puts equal windows of that length together; that is done here digit by
-digit, most significant first, and what is alone after a digit is dropped. The first digit is chosen so that few
-suffixes need it: each window is filed under the 16-byte string inside it whose hash is least (the leftmost of equal
-ones), so equal windows are filed together, and a run of windows with the same place is one segment.
+digit, and what is alone after a digit is dropped. The first digit is not the leading bytes but one that few suffixes
+need: each window is filed under the 16-byte string inside it whose hash is least (the leftmost of equal ones), so
+equal windows are filed together, and a run of windows with the same place is one segment. Inside a file the digits of
+eight bytes follow from the most significant on; groups are told by equality, so the order of different groups, which
+nothing here needs, is that of a hash and not of bytes.
 
 1. Documents are gathered into blobs of bounded size (a table).
 2. First digit: each blob sends the distinct hashes of its segments, by buckets of the hash; a bucket answers each
@@ -236,7 +238,7 @@ class Blob:
         where = np.arange(cols)
         lo = width - left
         rows = np.where((where >= lo[:, None]) & (where < (lo + count + self.spec.length - 1)[:, None]), rows, 0).astype(np.uint8)
-        order, new = _same_rows(rows, left * 256 + count)
+        order, new = _same_rows(rows, (left << 16) + count)
         item = np.empty(len(at), dtype=np.int64)
         item[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
@@ -349,7 +351,7 @@ def _send_items(spec: Spec):
 
 def least_documents(rows: np.ndarray, left: np.ndarray, count: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """rows: contents with the anchor's column fixed. Returns for every window of every row (rows in order) the smallest doc_id of an equal window, and the row."""
-    order, new = _same_rows(rows, left * 256 + count)
+    order, new = _same_rows(rows, (left << 16) + count)
     first = np.flatnonzero(new)
     kind = np.empty(len(rows), dtype=np.int64)
     kind[order] = np.cumsum(new) - 1

@@ -31,7 +31,7 @@ def test_contamination_against_brute_force(spark):
         for k, s in items:
             b = tokens(s)
             w = min(20, len(b))
-            if len(b) < 10:
+            if len(b) < decontaminate.LEAST:
                 continue
             for shift in range(-len(b), len(a)):
                 eq = [a[j + shift] == b[j] for j in range(max(0, -shift), min(len(b), len(a) - shift))]
@@ -220,3 +220,19 @@ def test_the_statement_agrees_on_skewed_hosts(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.collect())) == sorted(map(key, want))
     assert {r[4] for r in want if r[3] is None} == {"block", "allow"}
+
+
+def test_one_repeated_word_is_a_row_for_each_item(spark):
+    rows = [(1, "word " * 20_000), (2, "a b " * 3000), (3, "x " * 30 + "word " * 17 + "one two three " + "y " * 30), (4, "plain text without any of it " * 9)]
+    items = spark.createDataFrame([(1, "word " * 400), (2, "a b " * 100), (3, "word " * 17 + "one two three")], "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["at"], r["equal"], r["window"]) for r in got}
+    assert found[1, 1] == (0, 20, 20) and found[2, 2] == (0, 20, 20) and found[3, 3] == (30, 20, 20)
+    assert {d for d, _ in found} == {1, 2, 3} and len(got) == len(found)
+
+
+def test_short_items_are_found_whole_with_one_substitution(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "one two three four five six seven eight nine"), (3, "too short")], "item_id bigint, text string")
+    docs = [(1, "x y alpha beta gamma delta epsilon z"), (2, "alpha beta other delta epsilon"), (3, "alpha beta other thing epsilon"), (4, "one two three four FIVE six seven eight ten"), (5, "much too short here")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["equal"]) for r in got} == {(1, 1, 5), (2, 1, 4), (4, 2, 8)}
