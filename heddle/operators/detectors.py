@@ -21,7 +21,11 @@ KEYS = ("change_set", "path")
 
 @dataclass(frozen=True)
 class Line:
-    """A line that matches and does not match `unless`; of rules with one `group` the first that fits counts."""
+    """A line that matches and does not match `unless`; of rules with one `group` the first that fits counts.
+
+    alike: whether the pattern's first two groups must be equal (True) or different (False) but for case; None: either.
+    Patterns use neither look-around nor back-references, so that any regular-expression engine can run them.
+    """
 
     kind: str
     pattern: str
@@ -31,6 +35,7 @@ class Line:
     path: str = ""
     path_unless: str = ""
     group: str = ""
+    alike: bool | None = None
 
 
 @dataclass(frozen=True)
@@ -46,6 +51,7 @@ class Frame:
     before: bool = False
     unless: str = ""
     path_unless: str = ""
+    want_unless: str = ""
 
 
 @dataclass(frozen=True)
@@ -84,7 +90,8 @@ class Across:
 
 LINES = (
     Line("weak-assertion", r"\.(toBeTruthy|toBeDefined|toBeFalsy|toBeUndefined)\(\)|assert\(\w+\);?$", unless=r"\.not\."),
-    Line("tautological-assertion", r"expect\((true|false|1|null)\)\.(toBe|toEqual)\(\1\)|assert(?:Equals|_eq!?)?\((\w+), ?\2\)", "critical"),
+    Line("tautological-assertion", r"expect\((true|false|1|null)\)\.(?:toBe|toEqual)\((true|false|1|null)\)", "critical", group="tautology", alike=True),
+    Line("tautological-assertion", r"assert(?:Equals|_eq!?)?\((\w+), ?(\w+)\)", "critical", group="tautology", alike=True),
     Line("type-assertion", r"[\w)\]] as (unknown\b|any\b|[A-Z][A-Za-z0-9_<>\[\]]*)", unless=r"^\s*(import|export)\b|\bas const\b"),
     Line("any-type", r":\s*any\b|<any>|\bany\[\]", unless=r"^\s*(//|\*|/\*)"),
     Line("ts-directive", r"@ts-nocheck", "critical", group="ts"),
@@ -96,18 +103,19 @@ LINES = (
     Line("hack", r"\bHACK\b"),
     Line("xxx", r"\bXXX\b", "info"),
     Line("workaround", r"(?i)\bworkaround\b", "info"),
-    Line("numeric-literal", r"(?<![\w.#\"'])(?!(?:0|1|2|10|100|1000|60|24)\b)\d{2,}(?![\w.])", "info", unless=r"\b(19|20)\d\d\b|\d+\.\d+\.\d+|^\s*(//|\*|const\s+[A-Z_]+\s*=)", path_unless=TESTS),
+    Line("numeric-literal", r"(^|[^\w.#\"'])\d{2,}([^\w.]|$)", "info", unless=r"\b(19|20)\d\d\b|\d+\.\d+\.\d+|^\s*(//|\*|const\s+[A-Z_]+\s*=)|(^|[^\w.])(10|24|60|100|1000)([^\w.]|$)", path_unless=TESTS),
     Line("string-literal", r"[=!]==?\s*['\"][A-Za-z_]{3,}['\"]", "info", path_unless=TESTS),
     Line("timeout-duration", r"(?i)set(timeout|interval)\([^,]+,\s*\d{2,}|timeout\s*[:=]\s*\d{2,}", "info"),
     Line("missing-await", r"^\s*(fetch|axios\.\w+|\w+\.save|\w+\.findOne|\w+Async)\(", unless=r"\bawait\b|\breturn\b|\.then\(|\.catch\("),
     Line("unnecessary-await", r"\bawait\s+(\d+|['\"]|true\b|false\b|null\b|\[)", "info"),
     Line("sync-in-async", r"\b(readFile|writeFile|exists|exec|readdir|stat|mkdir)Sync\("),
-    Line("missing-error-metadata", r"(?i)log(ger)?\.(error|warn)\(\s*(['\"`])[^'\"`]*\3\s*\)", "info"),
+    Line("missing-error-metadata", r"(?i)log(ger)?\.(error|warn)\(\s*('[^'\"`]*'|\"[^'\"`]*\"|`[^'\"`]*`)\s*\)", "info"),
     Line("unbounded-promise-all", r"Promise\.all\(\s*\w+\.map\(|Promise\.all\(\[(?:[^,\]]*,){4,}"),
     Line("unit-mismatch", r"(?i)\b\w+(ms|millis)\b\s*[-+<>]=?\s*\w+(sec|seconds|minutes)\b|\b\w+cents\b\s*[-+<>]=?\s*\w+(dollars|usd)\b|\b\w+bytes\b\s*[-+<>]=?\s*\w+(kb|mb|gb)\b", "critical"),
-    Line("id-confusion", r"\b(\w+)Id\s*===?\s*(?!\1)\w+Id\b|\bget(\w+)\((?!\w*(?i:\2))\w+Id\)"),
+    Line("id-confusion", r"\b(\w+)Id\s*===?\s*(\w+)Id\b", group="ids", alike=False),
+    Line("id-confusion", r"\bget([A-Z]\w*)\((\w+)Id\)", group="ids", alike=False),
     Line("timestamp-duration-swap", r"(?i)settimeout\([^,]+,\s*\w*(timestamp|date\.now\(\))|new Date\(\w*(duration|timeout|ttl)\w*\)"),
-    Line("string-subtype-confusion", r"(?i)\b(email|phone|url|path)\w*\s*=\s*\w*(?!\1)(email|phone|url|path)\w*\b"),
+    Line("string-subtype-confusion", r"(?i)\b(email|phone|url|path)\w*\s*=\s*(email|phone|url|path)\w*\b", alike=False),
     Line("unprotected-pii-in-response", r"(?i)res(ponse)?\.(json|send)\(.*(ssn|credit_?card|account_?number|iban)", "critical", unless=r"(?i)mask|redact|sanitize|omit", group="pii"),
     Line("unprotected-pii-in-response", r"(?i)res(ponse)?\.(json|send)\(.*(email|phone|birth|address)", unless=r"(?i)mask|redact|sanitize|omit", group="pii"),
     Line("sensitive-data-in-log", r"(?i)(log(ger)?|console)\.\w+\(.*(password|secret|token|ssn|credit_?card|api_?key)", "critical", unless=r"(?i)mask|redact|sanitize"),
@@ -118,10 +126,11 @@ LINES = (
     Line("optional-chain-coverage-gap", r"\w\?\.\w+\.\w+", "info"),
     Line("assertive-access-on-optional", r"\w!\.\w+", unless=r"[!=]==? ?(null|undefined)"),
     Line("hallucinated-import", r"from ['\"](react/hooks|fs/async|express/middleware|lodash/async|node:utils)['\"]"),
-    Line("sycophantic-stub", r"\{\s*return\s+(true|false|null|\[\]|\{\}|''|0);?\s*\}|function\s+\w+\((\w+)[^)]*\)\s*\{\s*return\s+\2;?\s*\}"),
+    Line("sycophantic-stub", r"\{\s*return\s+(true|false|null|\[\]|\{\}|''|0);?\s*\}", group="stub"),
+    Line("sycophantic-stub", r"function\s+\w+\((\w+)[^)]*\)\s*\{\s*return\s+(\w+);?\s*\}", group="stub", alike=True),
     Line("confident-wrong-api", r"(?i)\bset\w*\.includes\(|\barr\w*\.has\(|\barr\w*\.size\b|\bmap\w*\.length\b"),
-    Line("hardcoded-url", r"['\"`]https?://(?!localhost|127\.|example\.)", "info", unless=r"^\s*(export )?const [A-Z_]+|^\s*(//|\*)", path_unless=TESTS),
-    Line("hardcoded-port", r"(?i)(listen\(|port\s*[:=]\s*)(?!80\b|443\b|22\b)\d{2,5}\b", "info"),
+    Line("hardcoded-url", r"['\"`]https?://", "info", unless=r"^\s*(export )?const [A-Z_]+|^\s*(//|\*)|://(localhost|127\.|example\.)", path_unless=TESTS),
+    Line("hardcoded-port", r"(?i)(listen\(|port\s*[:=]\s*)\d{2,5}\b", "info", unless=r"(?i)(listen\(|port\s*[:=]\s*)(80|443|22)\b"),
     Line("hardcoded-limit", r"(?i)(limit|max\w*|threshold)\s*[:=]\s*\d{2,}", "info"),
     Line("hardcoded-toggle", r"(?i)(enable|disable|is|use|feature)\w*\s*[:=]\s*(true|false)\b", "info"),
     Line("debugger-statement", r"^\s*debugger;?\s*$", "critical"),
@@ -133,7 +142,7 @@ LINES = (
     Line("deprecated-callback-api", r"\bfs\.(exists|readFile|writeFile|readdir)\([^)]*(function|=>)", "info"),
     Line("slopsquatting-signal", r"(?i)from ['\"](\w+-(helper|utils?)-(pro|plus|ai)|\w+(js|py){2,}|easy-\w+-\w+|super-\w+-\w+)['\"]"),
     Line("version-mismatch", r"\.v\d+\.\w+\(", "info"),
-    Line("self-assertion", r"expect\((\w+(?:\.\w+)*)\)\.to(Be|Equal)\(\1\)", "critical"),
+    Line("self-assertion", r"expect\((\w+(?:\.\w+)*)\)\.to(?:Be|Equal)\((\w+(?:\.\w+)*)\)", "critical", alike=True),
     Line("private-helper-in-test", r"import .*\b_\w+.* from|\.(_\w+)\(", "info", path=TESTS),
     Line("non-existent-method", r"\.(push_back|append_to|len\(\)|strip\(\)|isEmpty\(\)|contains_key|toLower\(\))"),
     Line("fantasy-optional-chain", r"(\d|['\"]|true|false)\?\.\w+", "info"),
@@ -175,7 +184,7 @@ LINES = (
 )
 
 FRAMES = (
-    Frame("unreachable-code", r"^\s*(return\b.*;|throw\b.*;|break;|continue;)\s*$", r"^\s*(?!(?:\}|//|case\b|default:|else\b))\S", 1, unless=r"^\s*(if|for|while)\b"),
+    Frame("unreachable-code", r"^\s*(return\b.*;|throw\b.*;|break;|continue;)\s*$", r"^\s*\S", 1, unless=r"^\s*(if|for|while)\b", want_unless=r"^\s*(\}|//|case\b|default:|else\b)"),
     Frame("empty-catch", r"catch\s*(\(\w*\))?\s*\{\s*$", r"^\s*\}", 1, "critical"),
     Frame("unhandled-promise", r"\.then\(", r"\.catch\(|\btry\b", 2, absent=True, unless=r"\.catch\(|\bawait\b|\breturn\b"),
     Frame("n-plus-1-query", r"\b(for|while)\s*\(|\.forEach\(|\.map\(", r"(?i)\b(find(One|Many|By\w+)?|query|execute|fetch|select)\(", 10, "critical"),
@@ -195,7 +204,7 @@ FRAMES = (
     Frame("loop-var-closure", r"for\s*\(\s*var\b", r"(=>|function\s*\()", 19),
     Frame("stale-event-handler", r"addEventListener\(|\.on\(", r"\b(let|var)\s+\w+", 5, "info", before=True),
     Frame("settimeout-stale-capture", r"set(Timeout|Interval)\(", r"\b(let|var)\s+\w+", 7, "info", before=True),
-    Frame("async-closure-race", r"\blet\s+\w+\s*=\s*await\b", r"^\s*\w+\s*=(?!=)", 14),
+    Frame("async-closure-race", r"\blet\s+\w+\s*=\s*await\b", r"^\s*\w+\s*=[^=]", 14),
     Frame("secret-context", r"(?i)\b(password|secret|api_?key)\s*[:=]\s*['\"][^'\"]{6,}['\"]", r"(?i)\b(env|vault|example|dummy)\b", 3, "critical", absent=True, before=True, path_unless=TESTS),
 )
 
@@ -249,6 +258,9 @@ def line_rules(lines: DataFrame, rules: tuple[Line, ...] = LINES) -> DataFrame:
 
     def test(r: Line) -> Column:
         c = (F.col("op") == r.op) & _fits(content, r.pattern, r.unless)
+        if r.alike is not None:
+            same = F.lower(F.regexp_extract(content, r.pattern, 1)) == F.lower(F.regexp_extract(content, r.pattern, 2))
+            c = c & (same if r.alike else ~same)
         c = c & path.rlike(r.path) if r.path else c
         return c & ~path.rlike(r.path_unless) if r.path_unless else c
 
@@ -266,7 +278,7 @@ def frame_rules(lines: DataFrame, rules: tuple[Frame, ...] = FRAMES) -> DataFram
     """All look-ahead and look-behind rules over added lines with one sort."""
     w = Window.partitionBy(*KEYS).orderBy("pos")
     c = F.col("content")
-    cols = {f"__hd_{i}": F.max(c.rlike(r.want).cast("int")).over(w.rowsBetween(-r.n, -1) if r.before else w.rowsBetween(1, r.n)) for i, r in enumerate(rules)}
+    cols = {f"__hd_{i}": F.max(_fits(c, r.want, r.want_unless).cast("int")).over(w.rowsBetween(-r.n, -1) if r.before else w.rowsBetween(1, r.n)) for i, r in enumerate(rules)}
     seen = lines.where("op = 'add'").withColumns(cols)
 
     def test(i: int, r: Frame) -> Column:
@@ -304,25 +316,27 @@ def mix_rules(lines: DataFrame, rules: tuple[Both, ...] = MIXES) -> DataFrame:
     return _first_rows(got, {r.kind: r.rows for r in rules})
 
 
-def across_rules(lines: DataFrame, rules: tuple[Across, ...] = ACROSS) -> DataFrame:
-    """Keys in several files of a change set, at their first place; copied shingles among them."""
+def across_rules(lines: DataFrame, rules: tuple[Across, ...] = ACROSS, copies: bool = True) -> DataFrame:
+    """Keys in several files of a change set, at their first place; copied shingles among them if `copies` is set."""
     c, added = F.col("content"), lines.where("op = 'add'")
     keys = [F.when(c.rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.files).alias("least"), F.lower(F.regexp_extract(c, r.pattern, 1)).alias("key"))) for r in rules]
     named = added.select("change_set", "path", "pos", "line", F.explode(F.array_compact(F.array(*keys))).alias("x")).select("change_set", "path", "pos", "line", "x.*")
     copied = added.select("change_set", "path", "pos", "line", F.explode(shingles(c)).alias("key")).select("change_set", "path", "pos", "line", F.lit("copy-paste-pattern").alias("kind"), F.lit("info").alias("severity"), F.lit(3).alias("least"), "key")
-    every = named.unionByName(copied)
+    every = named.unionByName(copied) if copies else named
     per = every.groupBy("change_set", "kind", "severity", "least", "key", "path").agg(F.min(F.struct("pos", "line")).alias("at"))
     wide = per.groupBy("change_set", "kind", "severity", "least", "key").agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("path", "at")).alias("x")).where("files >= least")
     return wide.select("change_set", F.col("x.path").alias("path"), F.col("x.at.line").alias("line"), "kind", "severity").distinct()
 
 
-def replaced_rules(lines: DataFrame) -> DataFrame:
+REPLACED = {
+    "parameterization-loss": (r"\?\s*['\"]?\s*,\s*\[|\$\d|:\w+\b.*\bexecute", r"(?i)(select|insert|update|delete)\b.*(\+\s*\w|\$\{)"),
+    "error-handling-weakened": (r"catch\s*\(\w+\s*(instanceof|:)\s*\w+", r"catch\s*(\(\w*\))?\s*\{"),
+    "return-type-narrowing": (r"\)\s*:\s*\w+\s*\|\s*(null|undefined)", r"\)\s*:\s*\w+\s*\{"),
+}
+
+
+def replaced_rules(lines: DataFrame, pairs: dict[str, tuple[str, str]] = REPLACED) -> DataFrame:
     """Removed safe code with an unsafe addition in the same file: first added line of each."""
-    pairs = {
-        "parameterization-loss": (r"\?\s*['\"]?\s*,\s*\[|\$\d|:\w+\b.*\bexecute", r"(?i)(select|insert|update|delete)\b.*(\+\s*\w|\$\{)"),
-        "error-handling-weakened": (r"catch\s*\(\w+\s*(instanceof|:)\s*\w+", r"catch\s*(\(\w*\))?\s*\{"),
-        "return-type-narrowing": (r"\)\s*:\s*\w+\s*\|\s*(null|undefined)", r"\)\s*:\s*\w+\s*\{"),
-    }
     c = F.col("content")
     gone = lines.groupBy(*KEYS).agg(*[F.bool_or((F.col("op") == "delete") & c.rlike(a)).alias(f"f{i}") for i, (a, _) in enumerate(pairs.values())])
     hit = F.array(*[F.when(c.rlike(b) & F.col(f"f{i}"), _mark(k, "critical")) for i, (k, (_, b)) in enumerate(pairs.items())])
@@ -334,7 +348,7 @@ def file_rules(lines: DataFrame) -> DataFrame:
     """Path predicates and whole-file counts."""
     c, add = F.col("content"), F.col("op") == "add"
     typed = F.count_if(add & c.rlike(r":\s*\w+|expect\(|assert"))
-    per = lines.groupBy(*KEYS).agg(F.first("status").alias("status"), F.count_if(add).alias("plus"), F.count_if(F.col("op") == "delete").alias("minus"), typed.alias("typed"), F.min("line").alias("line"))
+    per = lines.groupBy(*KEYS).agg(F.min("status").alias("status"), F.count_if(add).alias("plus"), F.count_if(F.col("op") == "delete").alias("minus"), typed.alias("typed"), F.min("line").alias("line"))
     p = F.col("path")
     fresh = F.col("status") == "added"
     rules = {
