@@ -65,6 +65,17 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def thousands(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n.cast("bigint"), 0)
+
+
+def short_number(n: Column) -> Column:
+    """1234 as 1.2K, 2500000 as 2.5M; below a thousand as it is."""
+    tenths = lambda x: F.format_string("%.1f", F.floor(x / 100 + 0.5) / 10)
+    return F.when(n >= 1_000_000, F.concat(tenths(n / 1000), F.lit("M"))).when(n >= 1000, F.concat(tenths(n), F.lit("K"))).otherwise(n.cast("string"))
+
+
 def collapse_repeats(c: Column, least: int = 10) -> Column:
     """A character repeated `least` times or more is kept three times."""
     return F.regexp_replace(c, r"(?s)(.)\1{%d,}" % (least - 1), "$1$1$1")

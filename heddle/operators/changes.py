@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.globs import matches_any
@@ -123,3 +123,34 @@ def chunks(files: DataFrame, single: int = 10, medium: int = 25, medium_chunks:
 
     kind = files.schema["change_set"].dataType.simpleString()
     return files.select("change_set", "path").distinct().groupBy("change_set").applyInPandas(pack, f"change_set {kind}, path string, chunk int")
+
+
+def split_suggestions(files: DataFrame, foundation: str = r"(?i)(^|/)(types?|config|schema|shared|common|lib)/", most: int = 4) -> DataFrame:
+    """files: change_set, path. Parts into which a change set could be split: change_set, part (from 0), area, files.
+
+    Files that others build on come first; then the areas (top two directories) by size. Areas beyond `most` parts are
+    folded into the last. Change sets of one part are left out.
+    """
+    area = F.when(F.col("path").rlike(foundation), "foundation").otherwise(F.regexp_extract("path", r"^([^/]*/?[^/]*)/[^/]*$", 1))
+    n = files.select("change_set", "path").distinct().groupBy("change_set", area.alias("area")).agg(F.count(F.lit(1)).alias("files"))
+    w = Window.partitionBy("change_set").orderBy((F.col("area") != "foundation").cast("int"), F.desc("files"), "area")
+    ranked = n.select("change_set", "area", "files", F.least(F.row_number().over(w) - 1, F.lit(most - 1)).alias("part"))
+    parts = ranked.groupBy("change_set", "part").agg(F.array_join(F.array_sort(F.collect_list("area")), "+").alias("area"), F.sum("files").alias("files"))
+    several = parts.groupBy("change_set").count().where("count > 1").select("change_set")
+    return parts.join(several, "change_set", "left_semi")
+
+
+def mine_skills(notes: DataFrame, least: int = 3) -> DataFrame:
+    """notes: text of remembered findings, `- [category] path: ...` a line. Pairs of category and path told often enough."""
+    line = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^- (\[\w+\] [^:\n]+):"), F.lit(1))).alias("x")
+    pair = notes.select(line).select(F.regexp_extract("x", r"^\[(\w+)\]", 1).alias("category"), F.regexp_extract("x", r"\] (.+)$", 1).alias("path"))
+    return pair.groupBy("category", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def consolidate(entries: DataFrame, capacity: int = 2048, fill: float = 0.8) -> DataFrame:
+    """entries: repo, pos, text. The newest distinct entries of each repo that fit: once all exceed `fill` of the capacity
+    (in characters, a line end for each), older ones go until that share is kept; a repeated text counts at its newest place."""
+    size = F.length("text") + 1
+    last = entries.groupBy("repo", "text").agg(F.max("pos").alias("pos"))
+    w = Window.partitionBy("repo").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    return last.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= int(capacity * fill)).drop("used")

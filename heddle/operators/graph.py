@@ -73,3 +73,43 @@ def export_conflicts(edges: DataFrame, mine: DataFrame, theirs: DataFrame) -> Da
     """Edges out of my changed files into files that only the other change set touches. mine, theirs: path."""
     other = theirs.join(mine, "path", "left_anti").select(F.col("path").alias("target"))
     return edges.join(mine.select(F.col("path").alias("source")), "source", "left_semi").join(other, "target", "left_semi")
+
+
+def strong_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of every node that lies on a cycle, of any length; component is its largest node.
+
+    Nodes without an edge in or out are taken off first. Then, round by round, each node learns the largest node that
+    reaches it; those of one such colour that reach that node back are its component and leave. `keep` writes a step's
+    rows as a table; what reaches the driver are counts.
+    """
+    left = keep(edges.select("source", "target").where("source != target").distinct())
+    out = None
+    while True:
+        while (n := left.count()) > 0:  # ends that cannot be on a cycle
+            left = keep(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
+            if left.count() == n:
+                break
+        if n == 0:
+            break
+        colour = keep(left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            told = left.join(colour, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("told"))
+            new = keep(colour.join(told, "node", "left").select("node", F.greatest("colour", F.coalesce("told", "colour")).alias("colour"), (F.coalesce("told", "colour") > F.col("colour")).alias("moved")))
+            colour = new.select("node", "colour")
+            if not new.where("moved").limit(1).count():
+                break
+        inside = keep(left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("c")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("d")), "target").where("c = d").select("source", "target", "c"))
+        found = front = keep(colour.where("node = colour").select("node", "colour"))
+        while True:
+            back = inside.join(front, (F.col("target") == F.col("node")) & (F.col("c") == F.col("colour"))).select(F.col("source").alias("node"), "colour").distinct()
+            front = keep(back.join(found, "node", "left_anti"))
+            if not front.limit(1).count():
+                break
+            found = keep(found.unionByName(front))
+        out = found if out is None else out.unionByName(found)
+        gone = found.select("node")
+        left = keep(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti"))
+    if out is None:
+        return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    sizes = out.groupBy("colour").count().where("count > 1").select("colour")
+    return out.join(sizes, "colour", "left_semi").select("node", F.col("colour").alias("component"))

@@ -11,7 +11,7 @@ from heddle.functions import hashing, numbers, text
 from heddle.functions.severity import LEVELS, ordinal
 from heddle.operators import feedback as fb
 from heddle.operators import frames, graph, relate, scoring, state
-from heddle.plans import code
+from heddle.plans import code, more
 from heddle.plans import views as v
 from heddle.plans.tables import durable
 
@@ -560,8 +560,8 @@ def token_budget_chunks(spark, d):
     return state.budget_chunks(t, "area", "file", 8000)
 
 
-QUERIES.update(code.queries())
-SQL.update(code.statements())
+QUERIES.update(code.queries() | more.QUERIES)
+SQL.update(code.statements() | more.SQL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

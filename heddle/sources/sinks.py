@@ -31,9 +31,13 @@ def annotation_batches(findings: DataFrame, order: list[str], size: int = 50) ->
     return findings.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
+# Parts of a key's name that mark its value as secret.
+SECRET_KEYS = r"(?i)key|token|secret|password|credential"
+
+
 def redact_config(config: Column) -> Column:
     """Values whose key names a secret are replaced."""
-    return F.transform_values(config, lambda k, v: F.when(k.rlike(r"(?i)key|token|secret|password|credential"), F.lit("[REDACTED]")).otherwise(v))
+    return F.transform_values(config, lambda k, v: F.when(k.rlike(SECRET_KEYS), F.lit("[REDACTED]")).otherwise(v))
 
 
 def write_runs(runs: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The canonical schemas; timestamps are UTC.
@@ -77,3 +77,14 @@ def audit_findings(reports: DataFrame) -> DataFrame:
     v = reports.select(F.explode(F.from_json("report", kind)["vulnerabilities"]).alias("name", "v"))
     level = F.when(F.col("v.severity") == "moderate", "medium").when(F.col("v.severity") == "info", "nitpick").otherwise(F.col("v.severity"))
     return v.select("name", level.alias("severity"), F.col("v.range").alias("range"))
+
+
+def scan_workspace(spark: SparkSession, path: str, depth: int = 3, a_folder: int = 20, most: int = 200) -> DataFrame:
+    """path, folder, bytes of the files of a workspace, down to `depth` folders, hidden ones left out: the first of each folder by
+    name, and of all, as many as a project index lists. Only names and sizes are read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
+    f = f.withColumn("path", F.substring_index(F.regexp_replace("path", "^file:/+", "/"), root, -1)).where(~F.col("path").rlike(r"(^|/)\."))
+    f = f.withColumn("folder", F.regexp_replace("path", "/?[^/]*$", "")).where(F.size(F.split("path", "/")) <= depth + 1)
+    w = Window.partitionBy("folder").orderBy("path")
+    return f.withColumn("n", F.row_number().over(w)).where(F.col("n") <= a_folder).drop("n").orderBy("path").limit(most)
