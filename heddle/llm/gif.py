@@ -74,7 +74,10 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
 
 
 def lzw_decode(stream: bytes, root: int, most: int) -> bytes:
-    """Up to `most` samples of a code stream; a table that is full stays as it is until it is cleared."""
+    """Up to `most` samples of a code stream; a table that is full stays as it is until it is cleared.
+
+    Raises ValueError for a code that the table can't hold yet.
+    """
     clear, first = 1 << root, (1 << root) + 2
     data = np.frombuffer(stream + b"\0\0\0\0", dtype=np.uint8).astype(np.int64)
     literals = [bytes([i]) for i in range(clear)] + [b"", b""]
@@ -103,6 +106,8 @@ def lzw_decode(stream: bytes, root: int, most: int) -> bytes:
         run = codes[:end].tolist()
         if run and not prev:
             table = literals.copy()
+            if run[0] >= clear:
+                raise ValueError(f"code {run[0]} after a clear code")
             prev = table[run[0]]
             out.append(prev)
             rest = run[1:]
@@ -110,6 +115,8 @@ def lzw_decode(stream: bytes, root: int, most: int) -> bytes:
             rest = run
         put, size = out.append, len(table)
         for c in rest:
+            if c > size:
+                raise ValueError(f"code {c} in a table of {size}")
             entry = table[c] if c < size else prev + prev[:1]
             if size < LAST:
                 table.append(prev + entry[:1])
@@ -161,7 +168,14 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def decode(data: bytes) -> Iterator[Frame]:
-    """Frames in order, composed by disposal and transparency, interlace undone. Raises ValueError for what is no GIF."""
+    """Frames in order, composed by disposal and transparency, interlace undone. Raises ValueError where the stream is damaged."""
+    try:
+        yield from _decode(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the stream ends early") from e
+
+
+def _decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -189,8 +203,12 @@ def decode(data: bytes) -> Iterator[Frame]:
             palette, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
         root = data[at]
         code, at = _blocks(data, at + 1)
+        if not 2 <= root <= 8:
+            raise ValueError(f"code size {root}")
         got = lzw_decode(code, root, w * h)
-        image = np.frombuffer(got.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if len(got) < w * h:
+            raise ValueError(f"{len(got)} of {w * h} samples")
+        image = np.frombuffer(got, np.uint8).reshape(h, w)
         if local & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             straight = np.empty_like(image)
@@ -210,6 +228,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         elif disposal == 3:
             canvas = before
         delay, disposal, clear = 0, 0, None
+    if at >= len(data):
+        raise ValueError("no trailer")
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -243,48 +263,65 @@ def store(docs: DataFrame) -> DataFrame:
     return materialise(texts.mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary"), "gif")
 
 
-FRAME_SCHEMA = "doc_id bigint, frame int, at_ms bigint, delay_ms int, width int, height int, samples binary, histogram array<int>"
+FRAME_SCHEMA = "doc_id bigint, frame int, at_ms bigint, delay_ms int, width int, height int, samples binary, histogram array<int>, error string"
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """media: doc_id, media. One row for each frame with its time and the colour histogram of the composed canvas; null media give none."""
+    """media: doc_id, media. One row for each frame with its time and the colour histogram of the composed canvas.
+
+    Null media give none. A damaged stream gives the frames before the damage and then a row with nothing but doc_id
+    and `error`.
+    """
+    names = [c.split()[0] for c in FRAME_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.string()]
+
+    def rows(doc: int | None, data: bytes) -> Iterator[list]:
+        at = 0
+        try:
+            for i, f in enumerate(decode(data)):
+                yield [doc, i, at, 10 * f.delay, f.canvas.shape[1], f.canvas.shape[0], f.samples.tobytes(), histogram(f.canvas).tolist(), None]
+                at += 10 * f.delay
+        except ValueError as e:
+            yield [doc, *[None] * 7, str(e)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                at = 0
-                for i, f in enumerate(decode(data) if data is not None else ()):
-                    row = [doc, i, at, 10 * f.delay, f.canvas.shape[1], f.canvas.shape[0], f.samples.tobytes(), histogram(f.canvas).tolist()]
-                    at += 10 * f.delay
-                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-                    names = ["doc_id", "frame", "at_ms", "delay_ms", "width", "height", "samples", "histogram"]
+                for row in rows(doc, data) if data is not None else ():
                     yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
     return media.select("doc_id", "media").mapInArrow(run, FRAME_SCHEMA)
 
 
-DIGEST_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DIGEST_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What op5 returns, from the stored media alone; `feature` holds frames, milliseconds and the summed histogram."""
+    """What op5 returns, from the stored media alone; `feature` holds frames, milliseconds and the summed histogram.
+
+    A damaged stream has its reason in `error` and nothing about payload and feature; null media have nulls alone.
+    """
+
+    def described(data: bytes) -> tuple:
+        sha, size, tail, n, ms, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(64, dtype=np.int64)
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            for f in decode(data):
+                raw = f.samples.tobytes()
+                sha.update(raw)
+                size, tail, n, ms = size + len(raw), raw[-64:], n + 1, ms + 10 * f.delay
+                bins += histogram(f.canvas)
+        except ValueError as e:
+            return None, None, None, *stored, None, str(e)
+        feature = f"frames={n};ms={ms};histogram=" + ",".join(f"{i}:{c}" for i, c in enumerate(bins.tolist()) if c)
+        return size, sha.hexdigest(), zlib.crc32(tail), *stored, feature, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
         for batch in batches:
             for part in slices(batch, "media"):
-                rows = []
-                for data in part.column("media").to_pylist():
-                    sha, size, tail, n, ms, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(64, dtype=np.int64)
-                    for f in decode(data):
-                        raw = f.samples.tobytes()
-                        sha.update(raw)
-                        size, tail, n, ms = size + len(raw), raw[-64:], n + 1, ms + 10 * f.delay
-                        bins += histogram(f.canvas)
-                    feature = f"frames={n};ms={ms};histogram=" + ",".join(f"{i}:{c}" for i, c in enumerate(bins.tolist()) if c)
-                    rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-                cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                cols = list(zip(*[described(x) if x is not None else (None,) * 7 for x in part.column("media").to_pylist()], strict=True))
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     return media.mapInArrow(run, DIGEST_SCHEMA)

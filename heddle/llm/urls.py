@@ -68,8 +68,10 @@ def _level(tree: DataFrame, level: int) -> DataFrame:
     child = tree.where(here.isNotNull()).groupBy("host", "done", here.alias("here")).agg(F.sum("n").alias("n"))
     plain = form(F.col("here")) == F.col("here")
     node = child.groupBy("host", "done").agg(F.sum("n").alias("pages"), F.count_if(plain).alias("plain"), F.sum(F.when(plain, F.col("n"))).alias("plain_pages"))
+    # Nodes are written, so that joins with them read plain tables: small ones are broadcast, a hot node's paths are split.
+    node = materialise(node, f"url-nodes-{level}")
     kept = child.where(F.col("n") >= KEEP_PAGES).join(node, ["host", "done"]).where(F.col("n") * KEEP_SHARE >= F.col("pages"))
-    kept = kept.select("host", "done", "here", F.lit(True).alias("kept"))
+    kept = materialise(kept.select("host", "done", "here", F.lit(True).alias("kept")), f"url-kept-{level}")
     wild = node.where((F.col("plain") >= MANY_CHILDREN) & (F.col("plain_pages") < FEW_PAGES * F.col("plain"))).select("host", "done", F.lit(True).alias("wild"))
     tree = tree.withColumn("here", here).join(kept, ["host", "done", "here"], "left").join(wild, ["host", "done"], "left")
     name = F.when(F.col("kept"), F.col("here")).when(F.col("wild") & (form(F.col("here")) == F.col("here")), "*").otherwise(form(F.col("here")))
@@ -124,7 +126,7 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     template = tree.groupBy("host", "done").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
     template = materialise(template.withColumns({"branch": F.coalesce(F.get("done", F.lit(0)), F.lit("")), "rest": rest}), "url-templates")
     purity = (F.col("bad") + SMOOTHING * F.col("prior")) / (F.col("labelled") + SMOOTHING)
-    scored = template.join(branch_priors(template), ["host", "branch"]).select("host", "done", purity.alias("purity"))
+    scored = materialise(template.join(branch_priors(template), ["host", "branch"]).select("host", "done", purity.alias("purity")), "url-purity")
     return tree.join(scored, ["host", "done"]).select("host", "segs", F.concat(F.lit("/"), F.array_join("done", "/")).alias("template"), F.round("purity", 6).alias("purity"))
 
 

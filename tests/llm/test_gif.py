@@ -75,3 +75,39 @@ def test_documents_round_trip(spark):
 
 def test_empty_table(spark):
     assert gif.document_media(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+#: Ten by ten samples of four colours, written by hand from the format's description, not by this library.
+BY_HAND = bytes.fromhex("474946383961 0A000A00910000 FFFFFFFF00000000FF000000 21F9040000000000 2C000000000A000A0000 02168C2D99872A1CDC33A00275EC95FAA8DE608C04914C0100 3B".replace(" ", ""))
+PICTURE = [[1] * 5 + [2] * 5] * 3 + [[1] * 3 + [0] * 4 + [2] * 3] * 2 + [[2] * 3 + [0] * 4 + [1] * 3] * 2 + [[2] * 5 + [1] * 5] * 3
+
+
+def test_a_stream_made_elsewhere():
+    (f,) = gif.decode(BY_HAND)
+    assert f.samples.tolist() == PICTURE
+    assert f.canvas[0, 0].tolist() == [255, 0, 0] and f.canvas[9, 0].tolist() == [0, 0, 255] and f.canvas[4, 4].tolist() == [255, 255, 255]
+
+
+def test_interlace_and_a_local_palette():
+    at = BY_HAND.index(b"\x2c") + 9
+    local = bytes([7, 7, 7, 1, 2, 3, 4, 5, 6, 9, 9, 9])
+    (f,) = gif.decode(BY_HAND[:at] + b"\xc1" + local + BY_HAND[at + 1 :])
+    rows = [0, 8, 4, 2, 6, 1, 3, 5, 7, 9]  # the passes: every eighth from 0, from 4, every fourth from 2, every second from 1
+    assert [f.samples.tolist()[r] for r in rows] == PICTURE
+    assert f.canvas[0, 0].tolist() == [1, 2, 3] and f.canvas[0, 9].tolist() == [4, 5, 6]
+
+
+def test_damaged_streams_are_rows_with_an_error(spark):
+    good = gif.encode([np.zeros((4, 4), np.uint8), np.ones((4, 4), np.uint8)])
+    cut = BY_HAND[:-8]
+    wild = BY_HAND.replace(bytes.fromhex("168C2D"), bytes.fromhex("16FCFF"))
+    media = [(1, 5, good), (2, 5, cut), (3, 5, wild), (4, 5, b"no picture"), (5, 5, None), (6, 5, good[:-20]), (7, 5, b"")]
+    df = spark.createDataFrame(media, "doc_id bigint, n_bytes bigint, media binary")
+    got = {r["doc_id"]: r for r in gif.digests(df).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 32
+    for k in (2, 3, 4, 6, 7):
+        assert got[k]["error"] and got[k]["payload_sha256"] is None and got[k]["feature"] is None and got[k]["media_bytes"] == len(media[k - 1][2])
+    assert got[5]["media_bytes"] is None and got[5]["error"] is None
+    rows = gif.frames(df).collect()
+    assert sorted((r["doc_id"], r["frame"]) for r in rows if r["error"] is None) == [(1, 0), (1, 1), (6, 0)]
+    assert sorted(r["doc_id"] for r in rows if r["error"]) == [2, 3, 4, 6, 7]

@@ -115,3 +115,28 @@ def test_packing_places_every_token_once(spark):
         fill[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(fill.values()) <= 1024 and sorted(fill) == list(range(len(fill)))
     assert sum(fill.values()) > 0.97 * 1024 * len(fill)
+
+
+def test_ties_and_empty_counts():
+    assert packing.plan({}) == [] and packing.plan({5: 0}) == [] and packing.fill({}, 9) == {}
+    windows = packing.plan({512: 3, 1: 1, 1023: 1}, 1024)
+    assert sorted((n, u * k) for uses, k in windows for n, u in uses.items()) == [(1, 1), (512, 1), (512, 2), (1023, 1)]
+
+
+def test_lookup_skips_stripes(spark):
+    """A filter on doc_id is handed to the ORC reader, and most files hold a Bloom filter that rules it out."""
+    from heddle.llm.common import new_path
+
+    docs = spark.createDataFrame([(3 * i, "words " * 50) for i in range(4000)], "doc_id bigint, text string")
+    path = new_path(spark, "t")
+    tokenfile.write_token_file(docs, path, public_tokenizers.path("word_bpe_49k.json"), 1, docs_a_file=1000)
+    found = spark.read.schema(tokenfile.SCHEMA).orc(path).where("doc_id = 3000")
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "EqualTo(doc_id,3000)" in plan.toString() and found.count() == 1
+    read = tokenfile.lookup(spark, path, [3000, 3001])
+    assert [r["doc_id"] for r in read.collect()] == [3000]
+    scanned = found.select("doc_id", "ids")
+    rows = scanned._jdf.queryExecution().executedPlan()
+    scanned._jdf.queryExecution().toRdd().count()
+    scan = rows.collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 1000  # one row group of the 4000 rows
