@@ -71,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 ids, ends = library.encode(part.column("text"), end_id)
                 sizes = np.diff(ends)
                 pieces = -(-sizes // capacity)

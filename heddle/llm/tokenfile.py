@@ -47,7 +47,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, do
         library = encoder(tokenizer)
         width = f"<u{_width(library, end_id)}"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 6 << 20):
                 doc = part.column("doc_id")
                 where = np.searchsorted(cuts, np.asarray(doc.fill_null(-(2**63))), "right").astype(np.int32)
                 ids, ends = library.encode(part.column("text"), end_id)
