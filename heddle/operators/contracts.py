@@ -113,6 +113,17 @@ def narrowed_signature_calls(lines: DataFrame) -> DataFrame:
     return calls(lines).join(less, ["change_set", "symbol"]).where("path != declared").select(*KEYS, "line", "symbol", _named("signature-change")).distinct()
 
 
+def unhandled_throws(lines: DataFrame, reach: int = 30) -> DataFrame:
+    """Calls of functions of the change set that throw, with no `try` in the lines before or no `catch` from there on, within reach."""
+    inside = _inside(lines, FUNCTION)
+    starts = _added(lines).select(*KEYS, "line", F.regexp_extract("content", FUNCTION, 1).alias("symbol"))
+    throwers = inside.where(F.col("content").rlike(THROWN)).select(*KEYS, "line").distinct().join(starts, [*KEYS, "line"]).select("change_set", "symbol").distinct()
+    w = Window.partitionBy(*KEYS).orderBy("pos")
+    near = lambda rx, a, b: F.max(F.col("content").rlike(rx).cast("int")).over(w.rowsBetween(a, b))
+    safe = _added(lines).select(*KEYS, "line", (near(r"\btry\b", -reach, 0) + near(r"\bcatch\b", 0, reach) == 2).alias("safe"))
+    return calls(lines).join(throwers, ["change_set", "symbol"]).join(safe.where("not safe"), [*KEYS, "line"]).select(*KEYS, "line", "symbol", _named("unhandled-throw"))
+
+
 def new_thrown_types(lines: DataFrame) -> DataFrame:
     """Types that a file throws on added lines and not on removed ones, at their first line."""
     gone = _symbol(lines.where("op = 'delete'"), THROWN).select(*KEYS, "symbol").distinct()

@@ -391,11 +391,21 @@ SOURCES = r"\b(?:const|let|var)?\s*(\w+)\s*=\s*.*\b(?:req\.(?:body|query|params)
 SINK = r"\b(eval|exec|execSync|innerHTML|query|spawn|system|writeFile)\b"
 
 
-def taint(lines: DataFrame) -> DataFrame:
-    """Variables assigned from a source that a sink line of the same file mentions later (high) or of another file (medium)."""
+ASSIGNED = r"^\s*(?:const|let|var)?\s*(\w+)\s*=[^=](.*)$"
+
+
+def taint(lines: DataFrame, aliases: int = 3) -> DataFrame:
+    """Variables assigned from a source, and in line order from such variables, that a sink line mentions: of the same
+    file later (critical) or of another file of the change set (warning). Chains of up to `aliases` assignments are followed."""
     a = lines.where("op = 'add'")
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0))))
     src = a.select("change_set", F.col("path").alias("sp"), F.col("pos").alias("spos"), F.regexp_extract("content", SOURCES, 1).alias("v")).where("v != ''").distinct()
-    snk = a.where(F.col("content").rlike(SINK)).select("change_set", "path", "pos", "line", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0)))).alias("v"))
+    given = a.where(F.col("content").rlike(ASSIGNED)).select("change_set", F.col("path").alias("sp"), "pos", F.regexp_extract("content", ASSIGNED, 1).alias("to"), words(F.regexp_extract("content", ASSIGNED, 2)).alias("v"))
+    last = src
+    for _ in range(aliases):
+        last = given.join(last, ["change_set", "sp", "v"]).where("pos > spos").select("change_set", "sp", F.col("pos").alias("spos"), F.col("to").alias("v")).distinct()
+        src = src.unionByName(last)
+    snk = a.where(F.col("content").rlike(SINK)).select("change_set", "path", "pos", "line", words(F.col("content")).alias("v"))
     j = src.join(snk, ["change_set", "v"]).where((F.col("sp") != F.col("path")) | (F.col("pos") >= F.col("spos")))
     return j.groupBy(*KEYS, "line").agg(F.max(F.col("sp") == F.col("path")).alias("own")).select(*KEYS, "line", F.lit("taint-trace").alias("kind"), F.when(F.col("own"), "critical").otherwise("warning").alias("severity"))
 

@@ -94,11 +94,19 @@ def fatigue_summary(scores: DataFrame) -> DataFrame:
 
 
 def trend(feedback: DataFrame, keys: list[str], order: list[str], least: int = 6, step: float = 0.15) -> DataFrame:
-    """improving, declining or stable: the newer half's rate against the older half's, each key on its own."""
-    w = Window.partitionBy(*keys)
-    r = feedback.where("outcome != 'pending'").select(*keys, _ok().alias("ok"), F.row_number().over(w.orderBy(*order)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    old = F.col("i") <= F.floor(F.col("n") / 2)
-    a = r.groupBy(*keys).agg(F.max("n").alias("n"), F.avg(F.when(old, F.col("ok").cast("int"))).alias("older"), F.avg(F.when(~old, F.col("ok").cast("int"))).alias("newer"))
+    """improving, declining or stable: the newer half's rate against the older half's, each key on its own.
+
+    order: a timestamp and what breaks its ties. Ranks are counted by day and then inside a day, so that a key with
+    most of the rows is as many tasks as it has days.
+    """
+    r = feedback.where("outcome != 'pending'").select(*keys, *order, _ok().cast("int").alias("ok"), F.date_trunc("day", order[0]).alias("__hd_day"))
+    days = r.groupBy(*keys, "__hd_day").agg(F.count(F.lit(1)).alias("__hd_n"))
+    by_day = Window.partitionBy(*keys).orderBy("__hd_day")
+    days = days.select(*keys, "__hd_day", (F.sum("__hd_n").over(by_day) - F.col("__hd_n")).alias("__hd_before"), F.sum("__hd_n").over(Window.partitionBy(*keys)).alias("n"))
+    ranked = r.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "__hd_day").orderBy(*order)))
+    i = F.col("i") + F.col("__hd_before")
+    both = ranked.join(days, [ranked[c].eqNullSafe(days[c]) for c in (*keys, "__hd_day")]).select(*[ranked[c] for c in keys], "ok", "n", (i <= F.floor(F.col("n") / 2)).alias("old"))
+    a = both.groupBy(*keys).agg(F.max("n").alias("n"), F.avg(F.when(F.col("old"), F.col("ok"))).alias("older"), F.avg(F.when(~F.col("old"), F.col("ok"))).alias("newer"))
     d = F.col("newer") - F.col("older")
     return a.select(*keys, "n", F.when(F.col("n") < least, "stable").when(d > step, "improving").when(d < -step, "declining").otherwise("stable").alias("trend"))
 

@@ -170,8 +170,8 @@ def fold_nearby(findings: DataFrame, reach: int = 5, alike: float = 0.56) -> Dat
     groups = findings.groupBy("file", "category").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = (F.size(acc) > 0) & (F.abs(x["line"] - last["line"]) <= reach) & (similarity(last["message"], x["message"]) >= alike)
+        last = acc["last"]
+        joins = last.isNotNull() & (F.abs(x["line"] - last["line"]) <= reach) & (similarity(last["message"], x["message"]) >= alike)
         merged = F.struct(
             last["line"].alias("line"),
             F.when(F.length(x["message"]) > F.length(last["message"]), x["message"]).otherwise(last["message"]).alias("message"),
@@ -180,11 +180,13 @@ def fold_nearby(findings: DataFrame, reach: int = 5, alike: float = 0.56) -> Dat
             (last["merged"] + 1).alias("merged"),
         )
         new = F.struct(x["line"].alias("line"), x["message"].alias("message"), x["sev"].alias("sev"), x["confidence"].alias("confidence"), F.lit(1).alias("merged"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(new)))
+        done = F.when(joins | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(joins, merged).otherwise(new).alias("last"))
 
     kind = findings.select("line", "message", ordinal(F.col("severity")).alias("sev"), "confidence").schema
-    empty = "array<struct<line:{},message:string,sev:int,confidence:{},merged:int>>".format(*(kind[c].dataType.simpleString() for c in ("line", "confidence")))
-    folded = groups.select("file", "category", F.explode(F.aggregate("rows", F.array().cast(empty), step)).alias("x"))
+    item = "struct<line:{},message:string,sev:int,confidence:{},merged:int>".format(*(kind[c].dataType.simpleString() for c in ("line", "confidence")))
+    start = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast(item).alias("last"))
+    folded = groups.select("file", "category", F.explode(F.aggregate("rows", start, step, lambda acc: F.concat(acc["done"], F.array(acc["last"])))).alias("x"))
     return folded.select("file", "category", "x.*")
 
 

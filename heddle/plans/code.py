@@ -279,7 +279,12 @@ import { useFetch } from 'react'
 export function lonely{k}() {
 lonely{k}()
 use moment here
-use luxon here""".split("\n")
+use luxon here
+function risky{c}(x) {
+throw new RangeError(x)
+}
+risky{c}(1)
+try { risky{c}(2) } catch (e) { log(e) }""".split("\n")
 )
 #: A name that a file 17 orders before exports, if its lines reach that far, and one that it does not.
 SNIPPETS = SNIPPETS[:90] + ("import { load{j}, gone{j} } from './mod{p}'",) + SNIPPETS[90:]
@@ -406,7 +411,8 @@ def _replaced_sql() -> str:
 """ + _first(dict.fromkeys(dt.REPLACED, 1), _hits(cases, "j", ", pos"))
 
 
-_TAINT = f"""WITH {CODE}, src AS (SELECT DISTINCT change_set, path AS sp, pos AS spos, regexp_extract(content, {_q(dt.SOURCES)}, 1) AS v FROM cl WHERE op = 'add' AND regexp_extract(content, {_q(dt.SOURCES)}, 1) != ''),
+_TAINT = f"""WITH RECURSIVE {CODE}, gv AS (SELECT change_set, path, pos, regexp_extract(content, {_q(dt.ASSIGNED)}, 1) AS given, unnest(list_distinct(regexp_extract_all(regexp_extract(content, {_q(dt.ASSIGNED)}, 2), '\\w+'))) AS w FROM cl WHERE op = 'add' AND {_fits(dt.ASSIGNED)}),
+src AS (SELECT change_set, path AS sp, pos AS spos, regexp_extract(content, {_q(dt.SOURCES)}, 1) AS v FROM cl WHERE op = 'add' AND regexp_extract(content, {_q(dt.SOURCES)}, 1) != '' UNION SELECT gv.change_set, gv.path, gv.pos, gv.given FROM gv JOIN src ON gv.change_set = src.change_set AND gv.path = src.sp AND gv.w = src.v AND gv.pos > src.spos),
 snk AS (SELECT change_set, path, pos, line, unnest(list_distinct(regexp_extract_all(content, '\\w+'))) AS v FROM cl WHERE op = 'add' AND {_fits(dt.SINK)})
 SELECT snk.change_set, path, line, 'taint-trace' AS kind, CASE WHEN bool_or(sp = path) THEN 'critical' ELSE 'warning' END AS severity FROM src JOIN snk ON src.change_set = snk.change_set AND src.v = snk.v WHERE sp != path OR pos >= spos GROUP BY 1, 2, 3"""
 
@@ -500,6 +506,9 @@ OTHERS = {
     "new_required_parameters": (lambda s, d: ct.new_required_parameters(code_lines(s, d)), f"WITH {CODE}, {_SIDES} SELECT change_set, path, line, symbol, CASE WHEN new_o - old_o >= new_n - old_n THEN 'info' ELSE 'critical' END AS severity, 'new-required-param' AS kind FROM sd WHERE new_n > old_n"),
     "narrowed_signature_calls": (lambda s, d: ct.narrowed_signature_calls(code_lines(s, d)), f"""WITH {CODE}, {_SIDES}, ca AS (SELECT change_set, path, line, unnest(list_distinct(regexp_extract_all(content, {_q(ct.CALL)}, 1))) AS symbol FROM cl WHERE op = 'add' AND NOT {_fits(ct.FUNCTION)})
 SELECT DISTINCT ca.change_set, ca.path, ca.line, ca.symbol, 'signature-change' AS kind FROM ca JOIN sd ON ca.change_set = sd.change_set AND ca.symbol = sd.symbol AND ca.path != sd.path WHERE new_n < old_n"""),
+    "unhandled_throws": (lambda s, d: ct.unhandled_throws(code_lines(s, d)), f"""WITH {CODE}, {_inner(ct.FUNCTION)}, tl AS (SELECT DISTINCT change_set, path, line FROM b WHERE {_fits(ct.THROWN)}), th AS (SELECT DISTINCT cl.change_set, regexp_extract(content, {_q(ct.FUNCTION)}, 1) AS symbol FROM tl JOIN cl ON cl.change_set = tl.change_set AND cl.path = tl.path AND cl.line = tl.line AND op = 'add'),
+ca AS (SELECT change_set, path, line, safe, unnest(list_distinct(regexp_extract_all(content, {_q(ct.CALL)}, 1))) AS symbol FROM (SELECT *, bool_or(regexp_matches(content, '\\btry\\b')) OVER (PARTITION BY change_set, path ORDER BY pos ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AND bool_or(regexp_matches(content, '\\bcatch\\b')) OVER (PARTITION BY change_set, path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING) AS safe FROM cl WHERE op = 'add') WHERE NOT {_fits(ct.FUNCTION)})
+SELECT ca.change_set, path, line, ca.symbol, 'unhandled-throw' AS kind FROM ca JOIN th ON ca.change_set = th.change_set AND ca.symbol = th.symbol WHERE NOT safe"""),
     "new_thrown_types": (lambda s, d: ct.new_thrown_types(code_lines(s, d)), f"""WITH {CODE}, n AS ({_sym(ct.THROWN)}), o AS ({_sym(ct.THROWN, "op = 'delete'")})
 SELECT change_set, path, min(line) AS line, symbol, 'changed-thrown-exceptions' AS kind FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.change_set = n.change_set AND o.path = n.path AND o.symbol = n.symbol) GROUP BY change_set, path, symbol"""),
     "renamed_exports": (lambda s, d: ct.renamed_exports(code_lines(s, d)), f"""WITH {CODE}, o AS (SELECT DISTINCT change_set, path, symbol FROM ({_sym(ct.EXPORT, "op = 'delete'")})), n AS (SELECT change_set, path, symbol, min(line) AS line FROM ({_sym(ct.EXPORT)}) GROUP BY 1, 2, 3)
@@ -565,7 +574,7 @@ SHAPES = {
     "detector_files": (dt.file_rules, _FILES),
     "detector_change_sets": (dt.change_set_rules, _SETS),
     "detector_unused": (dt.unused_variables, _UNUSED),
-    "detector_taint": (dt.taint, _TAINT),
+    "detector_taint": (lambda lines: dt.taint(lines, LINES_A_FILE - 1), _TAINT),
 }
 
 

@@ -221,7 +221,11 @@ def dedup_best_confidence(spark, d):
     return relate.best_confidence(f, ["file", "line", "category"], ["change_set"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {v.FINDINGS}, s AS (SELECT *, row_number() OVER (PARTITION BY file, category ORDER BY line, message, sev, confidence) AS n FROM (SELECT DISTINCT file, line, category, CAST(5 - list_position({v.LEVELS}, severity) AS INT) AS sev, confidence, message FROM fi)),
+f AS (SELECT file, category, n, line, message, sev, confidence, 1 AS merged, 1 AS k FROM s WHERE n = 1 UNION ALL
+  SELECT file, category, n, CASE WHEN j THEN l ELSE line END, CASE WHEN j AND length(m) >= length(message) THEN m ELSE message END, CASE WHEN j THEN greatest(sev, v) ELSE sev END, CASE WHEN j THEN greatest(confidence, c) ELSE confidence END, CASE WHEN j THEN merged + 1 ELSE 1 END, CASE WHEN j THEN k ELSE k + 1 END
+  FROM (SELECT s.file, s.category, s.n, s.line, s.message, s.sev, s.confidence, f.line AS l, f.message AS m, f.sev AS v, f.confidence AS c, f.merged, f.k, abs(s.line - f.line) <= 5 AND (s.message = f.message OR 1 - levenshtein(s.message, f.message) / greatest(length(s.message), length(f.message)) >= 0.56) AS j FROM f JOIN s ON s.file = f.file AND s.category = f.category AND s.n = f.n + 1))
+SELECT file, category, line, message, sev, confidence, merged FROM (SELECT *, row_number() OVER (PARTITION BY file, category, k ORDER BY n DESC) AS z FROM f) WHERE z = 1""")
 def dedup_proximity_fold(spark, d):
     return relate.fold_nearby(v.findings(spark, d).select("file", "line", "category", "severity", "confidence", "message").distinct())
 
