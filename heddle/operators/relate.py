@@ -100,8 +100,10 @@ def regex_rule_hits(lines: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def rule_table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """As `regex_rule_hits` for a rule relation of unknown size: name, pattern. Nested loop over rules, which Spark broadcasts if small."""
-    return lines.join(rules, F.rlike(F.col("content"), F.concat(F.lit("(?i)"), F.col("pattern")))).select("file", "pos", F.col("name").alias("rule"))
+    """As `regex_rule_hits` for a rule relation: name, pattern. A nested loop over the broadcast rules, MAX_RULES at most."""
+    if (n := rules.limit(MAX_RULES + 1).count()) > MAX_RULES:
+        raise ValueError(f"{n} rules or more; {MAX_RULES} at most")
+    return lines.join(F.broadcast(rules), F.rlike(F.col("content"), F.concat(F.lit("(?i)"), F.col("pattern")))).select("file", "pos", F.col("name").alias("rule"))
 
 
 def nearest(points: DataFrame, valid: DataFrame, reach: int = 5) -> DataFrame:

@@ -107,4 +107,10 @@ def test_streams(spark, tmp_path):
     assert sorted(r["k"] for r in spark.table("once").collect()) == ["k", "m"]
     q = streams.merge_batches(src, str(tmp_path / "latest"), ["k"], ["at"], str(tmp_path / "e"))
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "latest/version=0")).count() == 2
+    assert sorted(r["k"] for r in streams.read_merged(spark, str(tmp_path / "latest")).collect()) == ["k", "m"]
+    for i in range(3):  # further batches touch one bucket each
+        spark.createDataFrame([("k", f"2024-02-0{i + 1} 00:00:00")], "k string, at string").select("k", F.to_timestamp("at").alias("at")).write.mode("append").parquet(str(tmp_path / "ev"))
+        streams.merge_batches(src, str(tmp_path / "latest"), ["k"], ["at"], str(tmp_path / "e")).awaitTermination(120)
+    got = {r["k"]: str(r["at"]) for r in streams.read_merged(spark, str(tmp_path / "latest")).collect()}
+    assert got == {"k": "2024-02-03 00:00:00", "m": "2024-01-02 00:00:00"}
+    assert sorted(p.name for p in (tmp_path / "latest/data").iterdir()) == ["batch=0", "batch=2", "batch=3"]
