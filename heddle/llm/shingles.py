@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate, simhash
-from heddle.llm.common import materialise
+from heddle.llm.common import discard, materialise, path_of
 from heddle.llm.components import connected_components
 from heddle.llm.tokens import slices
 
@@ -110,9 +110,29 @@ def _described(docs: DataFrame, distance_words: int) -> DataFrame:
     return plain.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, n bigint, keys array<bigint>, sketch binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs a, b of nodes that are alike. Only sets that a pair names are formed again and sent."""
-    pairs = materialise(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs a, b of nodes, each once, whose sizes and sketches allow them to be alike; no alike pair is lost.
+
+    sketches: node, n, sketch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 8) for c in ("x", "y"))
+            n = np.asarray(batch.column("n"))
+            # The sets' difference, of which a ninth of both sizes is allowed, is as much as the sketches' or more.
+            yield batch.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n))
+
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c, v, n: sketches.select(F.col("node").alias(c), F.col("sketch").alias(v), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "n1"), "a").join(side("b", "y", "n2"), "b").where("5 * least(n1, n2) >= 4 * greatest(n1, n2)")
+    return materialise(both.select("a", "b", (F.col("n1") + F.col("n2")).alias("n"), "x", "y").mapInArrow(run, "a bigint, b bigint"), "shingle-pairs")
+
+
+def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, s: the sets that the pairs name, and a few that pass their filter by chance."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     held = docs.sparkSession.sparkContext.broadcast(decontaminate.bloom(wanted))
 
@@ -128,18 +148,52 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(ok)
                 yield pa.record_batch([pa.array(h[at].view(np.int64)), pa.array([s[i].tobytes() for i in at], pa.binary())], ["node", "s"])
 
+    return materialise(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sets, "node bigint, s binary").dropDuplicates(["node"]), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets are alike."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    s = materialise(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sets, "node bigint, s binary").dropDuplicates(["node"]), "shingle-sets")
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "shingle-links")
 
 
+def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """node, root of the components that the alike ones among the pairs, and `roots` if given, make.
+
+    A pair between texts that are connected already tells nothing new. So each text's first pair is verified, then each
+    component's first pair with another one, and then all pairs that still are between different components.
+    """
+    left = plausible(pairs, sketches)
+    sets = set_table(docs, left)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
+    for last in (False, False, True):
+        some = left if roots is None else _between(left, roots)
+        if not last:
+            ends = some.select(F.coalesce("ra", "a").alias("v"), "a", "b").unionByName(some.select(F.coalesce("rb", "b").alias("v"), "a", "b")) if roots is not None else some.select(F.col("a").alias("v"), "a", "b").unionByName(some.select(F.col("b").alias("v"), "a", "b"))
+            some = ends.groupBy("v").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        some = materialise(some.select("a", "b"), "shingle-try")
+        good = verified(some, sets)
+        links = good if links is None else links.unionByName(good)
+        roots = materialise(connected_components(links), "shingle-roots")
+        left = left.join(some, ["a", "b"], "left_anti")
+    discard(docs.sparkSession, [path_of(sets)])
+    return roots
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, ra, rb of the pairs between different components."""
+    side = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    return pairs.join(side("a", "ra"), "a", "left").join(side("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+
+
 def _meet(every: bool):
-    """key, node, n, at, root (and sketch, if `every`), sorted by key and n, to pairs a, b of different roots that can be alike if key is the
+    """key, node, n, at (and root and sketch, if `every`), sorted by key and n, to pairs a, b of different roots that can be alike if key is the
     first they share. Unless `every`, larger groups give a part of their pairs, and their key as `more`."""
 
     def may(n1, n2, p1, p2, r1, r2):
@@ -180,8 +234,10 @@ def _meet(every: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(c) for c in batch.columns[:5]]
-            if every:
+            now = [np.asarray(c).astype(np.int64) for c in batch.columns[: 5 if every else 4]]
+            if not every:
+                now.append(now[1])  # each text is its own root
+            else:
                 now.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 8))
             if held and now[0][-1] == held[0][0][0]:
                 held.append(now)
@@ -198,7 +254,7 @@ def _meet(every: bool):
 
 def _first_met(sets: DataFrame) -> DataFrame:
     """sets: node, n, keys. Pairs of sets that share a key, and the keys of which not all pairs are among them."""
-    rows = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", F.col("at").cast("bigint").alias("at"), F.col("node").alias("root"))
+    rows = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "at")
     # Texts of one length in an order of each key's own, so that the few they meet first differ from key to key.
     return rows.repartition("key").sortWithinPartitions("key", "n", F.xxhash64("key", "node")).mapInArrow(_meet(False), "a bigint, b bigint, more bigint")
 
@@ -232,15 +288,15 @@ def near_copies(docs: DataFrame, words: int, distance: int) -> DataFrame:
     links = simhash.link_fingerprints(prints.select("fp"), distance)
     head = lambda c: prints.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
     sets = rows.select("node", "n", "keys", "sketch").dropDuplicates(["node"])
+    sketches = materialise(sets.select("node", "n", "sketch"), "shingle-sketches")
     met = materialise(_first_met(sets), "shingle-met")
     first = met.where("a is not null").select("a", "b").unionByName(nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(links.join(head("a"), "a").join(head("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))))
-    roots = materialise(connected_components(verified(docs, first)), "shingle-roots")
+    roots = linked(docs, first, sketches)
 
     frequent = met.where("more is not null").select(F.col("more").alias("h"))
     again = _kept_keys(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), frequent)
     again = again.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meet(True), "a bigint, b bigint, more bigint")
-    more = verified(docs, again.select("a", "b"))
-    roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = linked(docs, again.select("a", "b"), sketches, roots)
 
     rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "shingle-rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "shingle-least")
