@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,12 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
             _made.remove(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's collectors find that no plan needs them; asks them to look, after a large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables made inside, except those that the block took before it: for steps whose result is written there."""

@@ -9,7 +9,7 @@ are formed. Every link is verified by its two sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate, simhash
-from heddle.llm.common import discard, materialise, path_of
+from heddle.llm.common import discard, materialise, path_of, sweep
 from heddle.llm.components import connected_components
 from heddle.llm.tokens import slices
 
@@ -26,6 +26,10 @@ WORDS = 5
 SAMPLE, MOST_COMMON = 4000, 200_000
 #: Groups of this size or less form all pairs in the first round; in larger ones each text meets so many others there.
 SMALL_GROUP, MEET_FIRST = 16, 3
+#: Parities of a sketch: the fewest, and the most that travel with each key.
+LEAST_BITS, KEY_BITS = 512, 4096
+#: Pairs, or keys with their sketches, that a task puts into one batch.
+PAIRS_AT_ONCE, KEYS_AT_ONCE = 1 << 17, 1 << 14
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -51,8 +55,23 @@ def _node(s: np.ndarray) -> int:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """512 parities of counts. Where two sketches differ, the sets differ in an element at least."""
-    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
+    """Parities of counts, as many as elements or more. Where two sketches differ, the sets differ in an element at least."""
+    bits = 1 << max(LEAST_BITS.bit_length() - 1, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _folded(sketches: Sequence[bytes], width: int) -> np.ndarray:
+    """A row of words for each sketch, the larger ones folded to `width` bytes: parities of places that fall together add up."""
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        x = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), n // 8)
+        while x.shape[1] > width // 8:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        out[at] = x
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -78,7 +97,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame, distance_words: int) -> DataFrame:
-    """doc_id, node (a hash of the set), fp, n (its size), keys (the first of its elements, rare ones before), sketch."""
+    """doc_id, node (a hash of the set), fp, n (its size), keys (the first of its elements, rare ones before), sketch, small (it, folded to the fewest parities)."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +121,44 @@ def _described(docs: DataFrame, distance_words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(sketches, pa.binary())],
-                    ["doc_id", "node", "fp", "n", "keys", "sketch"],
+                    [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(sketches, pa.binary()), pa.array([x.tobytes() for x in _folded(sketches, LEAST_BITS // 8)], pa.binary())],
+                    ["doc_id", "node", "fp", "n", "keys", "sketch", "small"],
                 )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, n bigint, keys array<bigint>, sketch binary")
+    return plain.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, n bigint, keys array<bigint>, sketch binary, small binary")
+
+
+def _may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, n (both sizes), long, x, y (their sketches): a, b, long of those whose sketches differ by no more than alike sets can."""
+    for batch in batches:
+        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+        n, width = np.asarray(batch.column("n")), np.fromiter((min(len(u), len(v)) for u, v in zip(x, y, strict=True)), np.int64, len(x))
+        ok = np.zeros(len(n), bool)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            # The sets' difference, of which a ninth of both sizes is allowed, is as much as the sketches' or more.
+            ok[at] = 9 * np.bitwise_count(_folded([x[i] for i in at], w) ^ _folded([y[i] for i in at], w)).sum(axis=1, dtype=np.int64) <= n[at]
+        yield batch.select(["a", "b", "long"]).filter(pa.array(ok))
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of the pairs a, b of nodes, each once, whose sizes and sketches allow them to be alike; no alike pair is lost.
 
-    sketches: node, n, sketch.
+    sketches: node, n, sketch, small. Longer texts, of which a small sketch tells little, are held against each other by
+    their whole sketches too, if the small ones leave a pair.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 8) for c in ("x", "y"))
-            n = np.asarray(batch.column("n"))
-            # The sets' difference, of which a ninth of both sizes is allowed, is as much as the sketches' or more.
-            yield batch.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n))
-
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c, v, n: sketches.select(F.col("node").alias(c), F.col("sketch").alias(v), F.col("n").alias(n))
-    both = pairs.join(side("a", "x", "n1"), "a").join(side("b", "y", "n2"), "b").where("5 * least(n1, n2) >= 4 * greatest(n1, n2)")
-    return materialise(both.select("a", "b", (F.col("n1") + F.col("n2")).alias("n"), "x", "y").mapInArrow(run, "a bigint, b bigint"), "shingle-pairs")
+    side = lambda c, v, n, sketch: sketches.select(F.col("node").alias(c), F.col(sketch).alias(v), F.col("n").alias(n))
+    fits = "5 * least(n1, n2) >= 4 * greatest(n1, n2)"
+    size = [(F.col("n1") + F.col("n2")).alias("n"), (F.least("n1", "n2") > LEAST_BITS).alias("long")]
+    both = pairs.join(side("a", "x", "n1", "small"), "a").join(side("b", "y", "n2", "small"), "b").where(fits)
+    near = materialise(both.select("a", "b", *size, "x", "y").mapInArrow(_may_be_alike, "a bigint, b bigint, long boolean"), "shingle-near")
+    wide = sketches.where(F.col("n") > LEAST_BITS)
+    side = lambda c, v, n, sketch: wide.select(F.col("node").alias(c), F.col(sketch).alias(v), F.col("n").alias(n))
+    both = near.where("long").select("a", "b").join(side("a", "x", "n1", "sketch"), "a").join(side("b", "y", "n2", "sketch"), "b")
+    again = both.select("a", "b", *size, "x", "y").mapInArrow(_may_be_alike, "a bigint, b bigint, long boolean")
+    return materialise(near.where("not long").select("a", "b").unionByName(again.select("a", "b")), "shingle-pairs")
 
 
 def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,9 +185,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs a, b whose sets are alike."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for part in (p for batch in batches for p in slices(batch, "x")):
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "shingle-links")
@@ -171,6 +201,7 @@ def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, roots: DataFr
     """
     left = plausible(pairs, sketches)
     sets = set_table(docs, left)
+    sweep(docs.sparkSession)
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
     for last in (False, False, True):
         some = left if roots is None else _between(left, roots)
@@ -182,6 +213,7 @@ def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, roots: DataFr
         links = good if links is None else links.unionByName(good)
         roots = materialise(connected_components(links), "shingle-roots")
         left = left.join(some, ["a", "b"], "left_anti")
+        sweep(docs.sparkSession)
     discard(docs.sparkSession, [path_of(sets)])
     return roots
 
@@ -200,21 +232,41 @@ def _meet(every: bool):
         left = 1 + np.minimum(n1 - 1 - p1, n2 - 1 - p2)
         return (r1 != r2) & (5 * n1 >= 4 * n2) & (9 * left >= 4 * (n1 + n2))  # n1 <= n2
 
-    def pairs(key, node, n, at, root, sketch=None) -> pa.RecordBatch:
-        a, b = [], []
+    def told(a: list, b: list) -> pa.RecordBatch:
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "more"])
+
+    def all_pairs(node, n, at, root, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        width, held, bits = np.fromiter(map(len, sketch), np.int64, len(sketch)), 0, None  # n and width don't fall
+        for i in range(len(n) - 1):
+            if width[i] != held:  # the rows of this width, and those of the next that are not too long for its longest
+                held, start, last = width[i], i, int(np.searchsorted(width, width[i], "right")) - 1
+                bits = _folded(sketch[i : int(np.searchsorted(n, 5 * n[last] // 4, "right"))], int(held))
+            e = int(np.searchsorted(n, 5 * n[i] // 4, "right"))
+            near = i + 1 + np.flatnonzero(may(n[i], n[i + 1 : e], at[i], at[i + 1 : e], root[i], root[i + 1 : e]))
+            # n1 + n2 - 2 x both sets' part, of which a ninth of n1 + n2 is allowed, is as much or more.
+            near = near[9 * np.bitwise_count(bits[near - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64) <= n[i] + n[near]]
+            yield np.full(len(near), node[i]), node[near]
+
+    def pairs(key, node, n, at, root, sketch=None) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         large = size > SMALL_GROUP
-        more = np.zeros(0, np.int64) if every else key[first[large]]
         if every:
+            a, b, found = [], [], 0
             for s, m in zip(first[large].tolist(), size[large].tolist(), strict=True):
-                for i in range(s, s + m - 1):
-                    e = s + int(np.searchsorted(n[s : s + m], 5 * n[i] // 4, "right"))
-                    ok = may(n[i], n[i + 1 : e], at[i], at[i + 1 : e], root[i], root[i + 1 : e])
-                    # n1 + n2 - 2 x both sets' part, of which a ninth of n1 + n2 is allowed, is as much or more.
-                    ok[ok] = 9 * np.bitwise_count(sketch[i + 1 : e][ok] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= n[i] + n[i + 1 : e][ok]
-                    b.append(node[i + 1 : e][ok])
-                    a.append(np.full(len(b[-1]), node[i]))
+                for x, y in all_pairs(*(c[s : s + m] for c in (node, n, at, root, sketch))):
+                    a.append(x)
+                    b.append(y)
+                    found += len(x)
+                    if found >= PAIRS_AT_ONCE or len(a) >= PAIRS_AT_ONCE:
+                        yield told(a, b)
+                        a, b, found = [], [], 0
+            if found:
+                yield told(a, b)
+        elif large.any():
+            more = pa.array(key[first[large]])
+            yield pa.record_batch([pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int64()), more], ["a", "b", "more"])
         for rows, most in ((np.repeat(~large & (size > 1), size), SMALL_GROUP - 1), (np.repeat(large, size), 0 if every else MEET_FIRST)):
             k, v, c, p, r = key[rows], node[rows], n[rows], at[rows], root[rows]
             for step in range(1, most + 1):
@@ -222,12 +274,7 @@ def _meet(every: bool):
                 if not same.any():
                     break
                 ok = same & may(c[:-step], c[step:], p[:-step], p[step:], r[:-step], r[step:])
-                a.append(v[:-step][ok])
-                b.append(v[step:][ok])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        gap = [None] * len(more)
-        a, b = pa.array([*np.minimum(a, b).tolist(), *gap], pa.int64()), pa.array([*np.maximum(a, b).tolist(), *gap], pa.int64())
-        return pa.record_batch([a, b, pa.array([*[None] * (len(a) - len(more)), *more.tolist()], pa.int64())], ["a", "b", "more"])
+                yield told([v[:-step][ok]], [v[step:][ok]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the last group, which may go on in the next batch
@@ -238,16 +285,16 @@ def _meet(every: bool):
             if not every:
                 now.append(now[1])  # each text is its own root
             else:
-                now.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 8))
+                now.append(np.array(batch.column("sketch").to_pylist(), dtype=object))
             if held and now[0][-1] == held[0][0][0]:
                 held.append(now)
                 continue
             start = int(np.searchsorted(now[0], now[0][-1]))
             held.append([c[:start] for c in now])
-            yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held = [[c[start:] for c in now]]
         if held:
-            yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -274,8 +321,12 @@ def _kept_keys(sets: DataFrame, keys: DataFrame) -> DataFrame:
             h, ok = flat.view(np.uint64), np.ones(len(flat), bool)
             for p in decontaminate._probes(h, 64 * len(bits)):
                 ok &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-            row = row[ok]
-            yield pa.record_batch([pa.array(flat[ok]), *(batch.column(c).take(pa.array(row)) for c in ("node", "n")), pa.array(at[ok]), batch.column("root").take(pa.array(row)), batch.column("sketch").take(pa.array(row))], ["key", "node", "n", "at", "root", "sketch"])
+            kept = np.flatnonzero(ok)
+            sketch = [x if len(x) <= KEY_BITS // 8 else _folded([x], KEY_BITS // 8).tobytes() for x in batch.column("sketch").to_pylist()]
+            for i in range(0, len(kept), KEYS_AT_ONCE):
+                some = kept[i : i + KEYS_AT_ONCE]
+                of = pa.array(row[some])
+                yield pa.record_batch([pa.array(flat[some]), *(batch.column(c).take(of) for c in ("node", "n")), pa.array(at[some]), batch.column("root").take(of), pa.array([sketch[r] for r in row[some]], pa.binary())], ["key", "node", "n", "at", "root", "sketch"])
 
     return sets.select("node", "n", "root", "keys", "sketch").mapInArrow(run, "key bigint, node bigint, n bigint, at bigint, root bigint, sketch binary")
 
@@ -287,9 +338,10 @@ def near_copies(docs: DataFrame, words: int, distance: int) -> DataFrame:
     prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "shingle-prints")
     links = simhash.link_fingerprints(prints.select("fp"), distance)
     head = lambda c: prints.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
-    sets = rows.select("node", "n", "keys", "sketch").dropDuplicates(["node"])
-    sketches = materialise(sets.select("node", "n", "sketch"), "shingle-sketches")
+    sets = rows.select("node", "n", "keys", "sketch", "small").dropDuplicates(["node"])
+    sketches = materialise(sets.select("node", "n", "sketch", "small"), "shingle-sketches")
     met = materialise(_first_met(sets), "shingle-met")
+    sweep(docs.sparkSession)
     first = met.where("a is not null").select("a", "b").unionByName(nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(links.join(head("a"), "a").join(head("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))))
     roots = linked(docs, first, sketches)
 
