@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from heddle.operators import relate
+from heddle.operators import relate, scoring
 from heddle.plans import queries as plans
 
 
@@ -97,3 +97,23 @@ def test_lines_of_many_orders_do_not_go_to_the_driver(spark, tmp_path, name):
     spark.range(200_000).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     plan = plans.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # before: all lines were broadcast, as an explode's rows are not estimated
+
+
+def test_health_of_a_half_does_not_hang_on_the_order_of_rows(spark):
+    rng, names = random.Random(11), list(scoring.HEALTH_WEIGHT)
+
+    def plain(rows):
+        got = most = 0.0
+        for _, signal, score in rows:
+            got, most = got + score * scoring.HEALTH_WEIGHT[signal], most + 10 * scoring.HEALTH_WEIGHT[signal]
+        return int(got * 100 / most + 0.5)
+
+    want, rows = {}, []
+    while len(want) < 12:
+        some = [(k, rng.choice(names), rng.randrange(11)) for k in range(10)]
+        if plain(some) != plain(some[::-1]):
+            rows += [(len(want), *x, 10) for x in some[::-1]]
+            want[len(want)] = plain(some)
+    signals = spark.createDataFrame(rows + [(99, 1, "ci", None, 10), (98, 2, "ci", 5, 10), (98, 1, "ci", None, 10)], "repo int, at int, signal string, score int, most int")
+    for df in (signals.coalesce(1), signals.repartition(4, "signal")):
+        assert {r["repo"]: r["health"] for r in scoring.health(df, "at").collect()} == want | {99: None, 98: 25}
