@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from heddle.llm import decontaminate, simhash
 from heddle.llm.common import discard, materialise, path_of, sweep
 from heddle.llm.components import connected_components
-from heddle.llm.tokens import slices
+from heddle.llm.tokens import forget_encoders, slices
 
 WORDS = 5
 #: Texts that tell which shingles are common, and how many of those are told to all tasks (3 MB).
@@ -101,6 +101,7 @@ def _described(docs: DataFrame, distance_words: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         common, count = held.value
         for batch in batches:
             for part in slices(batch, "text"):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import materialise
-from heddle.llm.tokens import slices
+from heddle.llm.tokens import forget_encoders, slices
 
 #: Fitting reads at most so many labelled rows, those with the smallest hash of doc_id, and keeps so many features.
 MAX_FIT_ROWS, MAX_FEATURES = 8000, 1024
@@ -268,6 +268,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score below THRESHOLD; all columns stay, under their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for part in slices(batch, "text"):

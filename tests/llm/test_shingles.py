@@ -1,6 +1,7 @@
 import random
 import re
 
+import public_tokenizers
 import pyarrow as pa
 
 from heddle.llm import shingles, simhash
@@ -79,3 +80,14 @@ def test_sketches_tell_long_texts_apart_and_lose_no_alike_pair(spark):
     out = [(a, b) for x in shingles._meet(True)(iter([batch.slice(0, cut), batch.slice(cut)])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
     assert len(out) == len(set(out)) and {p for p in out if not {7, 8, 9, 10} & set(p)} == want
     assert len(out) - len(want) == 6 + 2 * 4  # the copies among themselves and with the two that they are like
+
+
+def test_steps_that_do_not_encode_free_the_workers_encoders():
+    from heddle.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = pa.array(["Some words, and some more.", None])
+    before = [x.tolist() for x in tokens.encoder(path).encode(texts, 0)]
+    tokens.forget_encoders()
+    assert not tokens._encoders
+    assert [x.tolist() for x in tokens.encoder(path).encode(texts, 0)] == before
