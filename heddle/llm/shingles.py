@@ -30,6 +30,8 @@ SMALL_GROUP, MEET_FIRST = 16, 3
 LEAST_BITS, KEY_BITS = 512, 4096
 #: Pairs, or keys with their sketches, that a task puts into one batch.
 PAIRS_AT_ONCE, KEYS_AT_ONCE = 1 << 17, 1 << 14
+#: Links that the driver takes at most to tell their components without rounds (4 MB).
+LINKS_AT_ONCE = 1 << 18
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -212,7 +214,7 @@ def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, roots: DataFr
         some = materialise(some.select("a", "b"), "shingle-try")
         good = verified(some, sets)
         links = good if links is None else links.unionByName(good)
-        roots = materialise(connected_components(links), "shingle-roots")
+        roots = materialise(connected_components(links, LINKS_AT_ONCE), "shingle-roots")
         left = left.join(some, ["a", "b"], "left_anti")
         sweep(docs.sparkSession)
     discard(docs.sparkSession, [path_of(sets)])

@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Counterfactual pairs of a labelled text at most.
 MAX_PAIRS = 16
 COUNTERFACTUAL, RIDGE, MIN_ROWS, MIN_Z = 1.0, 0.0002, 3, 3.0
+#: Rows that a step of the fit holds as numbers of eight bytes at once.
+ROWS_AT_ONCE = 512
 THRESHOLD = 0.7
 
 
@@ -195,9 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, groups: dict[str, tuple[tuple[str, .
             gone, new = ([[sorted(p[k] - p[1 - k]) for p in row] for row in pairs] for k in (0, 1))
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(own, one), pa.array(gone, pa.list_(one)), pa.array(new, pa.list_(one))], ["doc_id", "toxic", "own", "gone", "new"])
 
-    known = rows.mapInArrow(describe, "doc_id bigint, toxic int, own array<int>, gone array<array<int>>, new array<array<int>>").orderBy("doc_id").collect()  # max_rows rows, MAX_PAIRS pairs each
-    texts = [(r["own"], int(r["toxic"] > 0)) for r in known]
-    pairs = [p for r in known for p in zip(r["gone"], r["new"], strict=True)]
+    known = rows.mapInArrow(describe, "doc_id bigint, toxic int, own array<int>, gone array<array<int>>, new array<array<int>>").orderBy("doc_id").toArrow()  # max_rows rows, MAX_PAIRS pairs each
+    texts = [(own.values.to_numpy(), int(y > 0)) for own, y in zip(known.column("own"), known.column("toxic").to_pylist(), strict=True)]
+    pairs = [p for gone, new in zip(known.column("gone"), known.column("new"), strict=True) for p in zip(gone.as_py(), new.as_py(), strict=True)]
     weights, free = (_solve(texts, pairs, len(names), c) for c in (COUNTERFACTUAL, 0.0))
     return Model(names, weights, {"rows": len(texts), "pairs": len(pairs), "change": mean_change(pairs, weights), "change_without": mean_change(pairs, free)})
 
@@ -207,16 +209,18 @@ def mean_change(pairs: list[tuple[list[int], list[int]]], weights: np.ndarray) -
     return math.fsum(abs(weights[gone].sum() - weights[new].sum()) for gone, new in pairs) / max(len(pairs), 1)
 
 
-def _solve(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], k: int, counterfactual: float, steps: int = 40) -> np.ndarray:
+def _solve(rows: list[tuple[Sequence[int], int]], pairs: list[tuple[list[int], list[int]]], k: int, counterfactual: float, steps: int = 40) -> np.ndarray:
     """Newton steps on mean log loss + ridge + `counterfactual` times the mean squared logit change of the pairs.
 
     rows: columns and label; pairs: the columns that only the one and only the other of a pair has; k: columns.
+    The rows are held as bytes and worked on in blocks, as the driver's Python has little room.
     """
-    x = np.zeros((len(rows), k + 1), dtype=np.float32)
+    x = np.zeros((len(rows), k + 1), dtype=np.uint8)
     x[:, k] = 1
     for i, (own, _) in enumerate(rows):
         x[i, own] = 1
     y = np.array([r[1] for r in rows], dtype=np.float64)
+    blocks = [slice(i, i + ROWS_AT_ONCE) for i in range(0, len(rows), ROWS_AT_ONCE)]
     pull = np.zeros((k + 1, k + 1))
     if counterfactual:
         for gone, new in pairs:
@@ -227,15 +231,25 @@ def _solve(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[
     ridge[k] = 0
     w = np.zeros(k + 1)
 
+    def logits(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[at].astype(np.float64) @ v for at in blocks])
+
     def loss(v: np.ndarray) -> float:
-        z = x @ v
+        z = logits(v)
         return float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (v * v) + 0.5 * v @ pull @ v)
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) / len(y) + ridge * w + pull @ w
-        curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge) + pull + 1e-9 * np.eye(k + 1)
+        p = 1 / (1 + np.exp(-np.clip(logits(w), -30, 30)))
+        slope, curve = np.zeros(k + 1), np.zeros((k + 1, k + 1))
+        for at in blocks:
+            some = x[at].astype(np.float64)
+            slope += some.T @ (p - y)[at]
+            curve += some.T @ (some * (p * (1 - p))[at, None])
+        slope = slope / len(y) + ridge * w + pull @ w
+        curve /= len(y)
+        curve += pull
+        curve[np.diag_indices(k + 1)] += ridge + 1e-9
         move, size = np.linalg.solve(curve, slope), 1.0
         while size > 1e-4 and (then := loss(w - size * move)) > now:
             size /= 2

@@ -80,6 +80,35 @@ def test_components_of_chains_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def test_components_of_few_edges_at_once_are_those_of_the_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(280)] + [(2000 - i, 1999 - i) for i in range(90)] + [(-5, -5)]
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    want = dict(map(tuple, components.connected_components(table).collect()))
+    n = table.where("a != b").distinct().count()
+    rounds = []
+    monkeypatch.setattr(components, "_small_star", lambda e, f=components._small_star: rounds.append(1) or f(e))
+    for most in (n - 1, n):  # one edge more than may be taken at once, and just as many
+        rows = components.connected_components(table, most).collect()
+        assert len(rows) == len(want) and dict(map(tuple, rows)) == want
+        assert bool(rounds) == (most < n)
+        rounds.clear()
+    assert components.connected_components(table.where("a = b"), 10).collect() == []
+
+
+def test_keep_one_makes_no_rounds_of_few_links(spark, monkeypatch):
+    """Each round's shuffles cost the driver; the pipeline's stage made them for a handful of links."""
+
+    def never(edges):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(components, "_small_star", never)
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, text + " end"), (2, "other words that no text beside this one has"), (3, text), (4, text.upper())]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+
+
 def test_keep_one_keeps_columns_and_rows_without_id(spark):
     rows = [(2, "a b c d e f g", "x", 1), (1, "a b c d e f g", "y", 2), (3, "quite another text of words", "z", 3), (None, "a b c d e f g", "n", 4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, fp string, component_id int")

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -117,6 +118,21 @@ def test_the_penalty_lowers_the_change_and_an_independent_fit_agrees(spark):
     assert abs(np.abs(d @ model.weights).mean() - model.report["change"]) < 1e-9
 
 
+def test_the_fit_of_the_most_rows_takes_little_memory():
+    """The largest fit that the constants allow; its blocks were whole tables of eight bytes a number, 189 MB at once."""
+    rng = np.random.default_rng(3)
+    k = toxicity.MAX_FEATURES
+    rows = [(np.flatnonzero(rng.random(k) < 0.1), int(i % 3 == 0)) for i in range(toxicity.MAX_FIT_ROWS)]
+    pairs = [([i % k], [(7 * i + 1) % k]) for i in range(500)]
+    tracemalloc.start()
+    try:
+        w = toxicity._solve(rows, pairs, k, 1.0, steps=2)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    assert w.shape == (k + 1,) and np.isfinite(w).all() and w.any()
+
+
 def test_counterfactuals_change_one_sentence():
     text = "The women met. Women and men left.\nNothing else."
     pairs = toxicity.counterfactuals(text)
